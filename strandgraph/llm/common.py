@@ -87,9 +87,10 @@ def lower(data: np.ndarray) -> np.ndarray:
     return data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`; none crosses from a row to the next."""
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+def words(data: np.ndarray, at: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, runs of `solid` bytes or else `[^\\x20\\x09-\\x0D]+`; none crosses from a row to the next."""
+    if solid is None:
+        solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]

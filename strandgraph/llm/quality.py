@@ -122,18 +122,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", bound: int = 8
     return fit(x, table.y.to_numpy(float))
 
 
-def quality_scores(docs: DataFrame, model: Trees, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of each row of `docs` and `quality_score`, in (0, 1). A null text counts as empty, and an empty text is scored like any other.
+def quality_scores(docs: DataFrame, model: Trees, text: str = "text", name: str = "quality_score") -> DataFrame:
+    """`docs` with the score of each row, in (0, 1), as `name`. A null text counts as empty, and an empty text is scored like any other.
 
-    Rows are neither dropped nor merged; columns not named are not read."""
-    from pyspark.sql import types as T
+    Rows are neither dropped nor merged; a column that `name` names already is replaced. Only the text goes to Python."""
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("quality_score", T.DoubleType())])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts.cast(pa.large_binary())], float)
+        return pa.array(model.score(x.reshape(len(texts), N_FEATURES)), pa.float64())
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.num_columns - 1).cast(pa.large_binary())
-            x = np.array([statistics(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts], float).reshape(len(texts), N_FEATURES)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x), pa.float64())], [*keep, "quality_score"])
-
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(scan, schema)
+    return docs.withColumn(name, score(F.col(text)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, simhash
+from . import chat, decontam, line_dedup, mixing, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +16,28 @@ def held_out(doc_id, remainder: int):
     return F.crc32(doc_id.cast("string")) % 5 == remainder
 
 
+#: The tree of the mixing query: weights of its nodes, by path; 1 where none is given.
+LEVELS = ("domain", "lang", "source")
+WEIGHTS = {("crawl",): 4, ("reference",): 3, ("forum",): 2, **{(d, lang): w for d in ("crawl", "reference", "forum") for lang, w in (("en", 5), ("de", 2), ("fr", 2))}}
+_DOMAIN = "CASE WHEN source = 'src0' THEN 'crawl' WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9') THEN 'reference' ELSE 'forum' END"
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Six tenths of the tokens of `docs` by the weights above, in at most three epochs."""
+    levels = {"domain": F.expr(_DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(docs, levels, WEIGHTS, F.expr("coalesce(sum(tokens), 0) * 6 div 10"), max_epochs=3, seed=7)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(F.col(f"level_{x}").alias(f"level_{x}") for x in LEVELS), "n_tokens", "epoch", "leaf_budget")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
     scored = quality.quality_scores(docs, model)
-    return scored.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,5 +66,52 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_chat, op6_simhash)}
-SQL: dict[str, str] = {}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", F.length("block").cast("long").alias("content_length"), "block_digest", "payload_digest",
+        F.col("source_headers")["status"].alias("source_status"), F.col("source_headers")["content-type"].alias("source_content_type"), F.col("source_headers")["content-length"].cast("long").alias("source_content_length"),
+    )
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_chat, op6_simhash, op7_warc, op8_lines, op10_decontam)}
+
+
+def _weight_sql(depth: int) -> str:
+    cases = " ".join("WHEN " + " AND ".join(f"{c} = '{k}'" for c, k in zip(LEVELS, key)) + f" THEN {w}" for key, w in WEIGHTS.items() if len(key) == depth)
+    return f"CASE {cases} ELSE 1 END" if cases else "1"
+
+
+def _fill_sql(name: str, source: str, depth: int) -> str:
+    """CTEs that hand the budgets in `source` (the parents' `budget`) down to the nodes of one level."""
+    path, parent = ", ".join(LEVELS[:depth]), ", ".join(LEVELS[: depth - 1]) or "0"
+    join = "CROSS JOIN root" if depth == 1 else f"JOIN (SELECT {parent}, budget FROM {source}) USING ({parent})"
+    return f"""
+{name}_n AS (SELECT {path}, cap, tokens, w, budget FROM (SELECT {path}, CAST(sum(tokens) * 3 AS BIGINT) AS cap, CAST(sum(tokens) AS BIGINT) AS tokens, {_weight_sql(depth)} AS w FROM leaves GROUP BY {path}) {join}),
+{name}_s AS (SELECT *, CAST(coalesce(sum(cap) OVER b, 0) AS BIGINT) AS _c, CAST(coalesce(sum(w) OVER b, 0) AS BIGINT) AS _v, CAST(sum(w) OVER (PARTITION BY {parent}) AS BIGINT) AS _w FROM {name}_n
+  WINDOW b AS (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / CAST(w AS DOUBLE), {LEVELS[depth - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_f AS (SELECT *, _c * w + cap * (_w - _v) <= budget * w AS _full FROM {name}_s),
+{name}_r AS (SELECT *, CAST(sum(CASE WHEN _full THEN cap ELSE 0 END) OVER (PARTITION BY {parent}) AS BIGINT) AS _s, CAST(sum(CASE WHEN _full THEN 0 ELSE w END) OVER (PARTITION BY {parent}) AS BIGINT) AS _r FROM {name}_f),
+{name} AS (SELECT {path}, tokens, CASE WHEN _full THEN cap ELSE (budget - _s) * w // _r END AS budget FROM {name}_r)"""
+
+
+SQL: dict[str, str] = {
+    "op2_mixing": f"""
+WITH base AS (SELECT doc_id, {_DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM base GROUP BY domain, lang, source HAVING sum(n_tokens) > 0),
+root AS (SELECT CAST(coalesce(sum(tokens), 0) AS BIGINT) * 6 // 10 AS budget FROM leaves),{_fill_sql("one", "root", 1)},{_fill_sql("two", "one", 2)},{_fill_sql("three", "two", 3)},
+plan AS (SELECT domain, lang, source, budget AS leaf_budget, budget // tokens AS whole, budget % tokens AS rest FROM three),
+keyed AS (SELECT b.*, leaf_budget, whole, rest, md5('7:' || CAST(whole AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM base b JOIN plan USING (domain, lang, source)),
+ranked AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) AS upto FROM keyed),
+counted AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS n FROM ranked)
+SELECT doc_id, domain AS level_domain, lang AS level_lang, source AS level_source, CAST(n_tokens AS BIGINT) AS n_tokens, e AS epoch, CAST(leaf_budget AS BIGINT) AS leaf_budget
+FROM counted JOIN (SELECT CAST(0 AS BIGINT) AS e UNION ALL SELECT 1 UNION ALL SELECT 2) ON e < n""",
+}
