@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, quality, simhash, warc
+from . import chat, decontam, line_dedup, mixing, quality, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def held_out(doc_id, remainder: int):
     return F.crc32(doc_id.cast("string")) % 5 == remainder
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The tree of the mixing query: weights of its nodes, by path; 1 where none is given.
 LEVELS = ("domain", "lang", "source")
 WEIGHTS = {("crawl",): 4, ("reference",): 3, ("forum",): 2, **{(d, lang): w for d in ("crawl", "reference", "forum") for lang, w in (("en", 5), ("de", 2), ("fr", 2))}}
@@ -82,7 +87,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_chat, op6_simhash, op7_warc, op8_lines, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_suffix, op2_mixing, op3_quality, op4_chat, op6_simhash, op7_warc, op8_lines, op10_decontam)}
 
 
 def _weight_sql(depth: int) -> str:
