@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, quality, simhash, suffix_dedup, warc
+from . import ann, chat, decontam, line_dedup, mixing, quality, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,11 +83,15 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix, op2_mixing, op3_quality, op4_chat, op6_simhash, op7_warc, op8_lines, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_suffix, op2_mixing, op3_quality, op4_chat, op6_simhash, op7_warc, op8_lines, op9_ann, op10_decontam)}
 
 
 def _weight_sql(depth: int) -> str:
