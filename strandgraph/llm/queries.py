@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, line_dedup, mixing, quality, simhash, suffix_dedup, warc
+from . import ann, chat, decontam, line_dedup, lm_score, mixing, quality, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 1))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -91,7 +95,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix, op2_mixing, op3_quality, op4_chat, op6_simhash, op7_warc, op8_lines, op9_ann, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_suffix, op2_mixing, op3_quality, op4_chat, op5_lm, op6_simhash, op7_warc, op8_lines, op9_ann, op10_decontam)}
 
 
 def _weight_sql(depth: int) -> str:
