@@ -245,8 +245,8 @@ def _crowded(rows: DataFrame, length: int) -> DataFrame:
         found.append(ends.join(sizes.where("n > 1").select("key", "cls"), ["key", "cls"]).select("h", "c", F.col("a").cast("long").alias("low"), F.col("b").cast("long").alias("high")))
         few = sizes.where((F.col("d") > 1) & (F.col("d") <= CROWDED))
         distinct = rows.join(few, ["key", "cls"]).groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("context").alias("context"))
-        met = _matched(distinct, length)
-        found.append(met.join(ends, ["key", "cls"]).select("h", "c", (met["low"] + ends["low"]).alias("low"), (met["high"] + ends["low"]).alias("high")))
+        met = _matched(distinct, length).withColumnsRenamed({"low": "nearest", "high": "furthest"})
+        found.append(met.join(ends, ["key", "cls"]).select("h", "c", (F.col("nearest") + F.col("low")).alias("low"), (F.col("furthest") + F.col("low")).alias("high")))
         many = sizes.where(F.col("d") > CROWDED).select("key", "cls")
         if many.isEmpty():
             break
