@@ -83,25 +83,25 @@ def overloads(graph: Graph, name: str) -> DataFrame:
 def context(graph: Graph, target: int, depth: int = 3) -> DataFrame:
     """(section, place, text): role, members, callers, callees, implementations, entrypoints, impact and files of a node, each list cut as a report cuts it."""
     own = walk.one(graph, target)
-    place = lambda *order: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # noqa: E731  lists about one node
+    top = lambda df, n, *order: df.orderBy(*order).limit(n).withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # noqa: E731  numbers n rows
     nodes = graph.nodes.select("id", "short", "kind", "file", "line", "tags")
     callers = walk.direct_callers(graph, target).join(nodes, "id")
     flow = graph.edges.where((F.col("src") == target) & is_flow()).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(F.when(F.col("note").eqNullSafe("di-bound"), 0).otherwise(1).alias("b"), (-score()).alias("s"), "ord")).alias("o"))
-    callees = flow.join(nodes, "id").withColumn("n", place("o")).where("n <= 12")
+    callees = top(flow.join(nodes, "id"), 12, "o")
     impls = rank.implementations(graph, target).join(nodes.drop("kind"), "id").where("place <= 8")
     reached = walk.reverse_reach(graph, target, depth).join(nodes.drop("kind"), "id")
-    eps = reached.where(is_entrypoint()).withColumn("n", place("level", "ord")).where("n <= 10")
-    called = callers.withColumn("n", place("is_test", "id"))
+    eps = top(reached.where(is_entrypoint()), 10, "level", "ord")
+    called = top(callers, 12, "is_test", "id")
     held = own.where(F.col("kind").isin(*TYPES)).select(F.col("id").alias("src")).join(graph.edges.where("kind = 'TypeUse'").where(F.col("note").isin("member", "ctor")).select("src", F.col("dst").alias("id")), "src").join(nodes, "id")
-    members = held.withColumn("n", place((F.col("kind") == "method").cast("int"), "line", "id")).where("n <= 20")
+    members = top(held, 20, (F.col("kind") == "method").cast("int"), "line", "id")
     impact = callers.agg(F.count(F.lit(1)).alias("a")).crossJoin(reached.agg(F.count(F.lit(1)).alias("b"))).crossJoin(eps.agg(F.count(F.lit(1)).alias("c")))  # a row each
     files = own.select("file", F.lit(0).alias("g"), F.lit(0).alias("n"))
-    for g, part in enumerate((called.where("n <= 12"), callees, impls.withColumnRenamed("place", "n"), eps), 1):
+    for g, part in enumerate((called, callees, impls.withColumnRenamed("place", "n"), eps), 1):
         files = files.unionByName(part.select("file", F.lit(g).alias("g"), "n"))
-    files = files.where("file <> ''").groupBy(F.lower("file").alias("file")).agg(F.min(F.struct("g", "n")).alias("o")).withColumn("n", place("o")).where("n <= 10")
+    files = top(files.where("file <> ''").groupBy(F.lower("file").alias("file")).agg(F.min(F.struct("g", "n")).alias("o")), 10, "o")
     sections = [
         ("ROLE", own, F.lit(1), F.concat_ws("  ", F.array_distinct(F.concat(F.array("kind"), F.filter("tags", lambda t: ~t.startswith("http:") & ~t.startswith("route:")))))),
-        ("MEMBERS", members, F.col("n"), F.col("short")), ("CALLED BY", called.where("n <= 12"), F.col("n"), F.col("short")), ("CALLS", callees, F.col("n"), F.col("short")),
+        ("MEMBERS", members, F.col("n"), F.col("short")), ("CALLED BY", called, F.col("n"), F.col("short")), ("CALLS", callees, F.col("n"), F.col("short")),
         ("IMPLEMENTATION", impls, F.col("place"), F.col("short")), ("ENTRYPOINTS", eps, F.col("n"), F.col("short")),
         ("IMPACT", impact, F.lit(1), F.format_string("%d direct caller(s), %d reachable member(s), %d entrypoint(s)", "a", "b", "c")), ("FILES", files, F.col("n"), F.col("file")),
     ]

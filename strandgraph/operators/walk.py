@@ -33,10 +33,10 @@ def walk(edges: DataFrame, start: DataFrame, depth: int, backward: bool = False,
     seen: (key, id) that are not to be discovered, `start` if not given. rank: sort keys of an edge among those of a node,
     before its ord. allow: a condition on an edge (kind, note, score) by the level of its source. goals: (id) at which
     the walk stops after the level that meets one. The score of a row is the least along its path, source that of
-    the weakest edge. The rows of `start` are not returned."""
+    the weakest edge. The rows of `start` are not returned. `edges` is scanned for each level: give it as a table."""
     at, to = ("dst", "src") if backward else ("src", "dst")
     step = F.array(*(c.cast("long") for c in rank or []), F.col("ord").cast("long"))
-    links = written(edges.select(F.col(at).alias("at"), F.col(to).alias("to"), F.col("kind").alias("k"), F.col("note").alias("t"), score().alias("s"), F.col("source").alias("f"), step.alias("step")))
+    links = edges.select(F.col(at).alias("at"), F.col(to).alias("to"), F.col("kind").alias("k"), F.col("note").alias("t"), score().alias("s"), F.col("source").alias("f"), step.alias("step"))
     frontier = written(start)
     seen = (seen if seen is not None else frontier).select("key", F.col("id").alias("to"))
     found: DataFrame | None = None
@@ -158,7 +158,8 @@ def trace(graph: Graph, start: int, depth: int = 6) -> DataFrame:
     Children stand in the order of bound, score, construction last. A type constructed below the first level is left out."""
     nodes = graph.nodes.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind"))
     flow = graph.edges.where(is_flow()).join(nodes, "dst")
-    flow = flow.withColumn("kind", F.when((F.col("kind") == "Construct") & (F.col("dst_kind") == "type"), "Construct type").otherwise(F.col("kind")))
+    flow = flow.withColumn("kind", F.when((F.col("kind") == "Construct") & (F.col("dst_kind") == "type"), "Construct type").otherwise(F.col("kind"))).drop("dst_kind")
+    flow = written(flow)
     rank = [F.when(F.col("note").eqNullSafe("di-bound"), 0).otherwise(1), F.round((1 - score()) * 1_000_000), F.when(F.col("kind").startswith("Construct"), 1).otherwise(0)]
     out = walk(flow, seeds(one(graph, start)), depth, rank=rank, allow=lambda level: F.lit(True) if level <= 1 else F.col("k") != "Construct type")
     return out.withColumn("kind", F.when(F.col("kind") == "Construct type", "Construct").otherwise(F.col("kind")))

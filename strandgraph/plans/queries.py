@@ -34,10 +34,6 @@ def _register(sql: str | None = None):
     return add
 
 
-def _stored(spark: SparkSession, sf: str) -> Graph:
-    return P.graph(spark, sf).stored()
-
-
 def _asked(spark: SparkSession, names: tuple[str, ...]) -> DataFrame:
     return spark.createDataFrame([(x,) for x in names], "q string")
 
@@ -66,32 +62,32 @@ def role_merge(spark, sf):
 
 @_register(f"WITH {S.PLACE}, {S.edges()} SELECT kind, count(*) AS edges FROM edges WHERE {S.FLOW} GROUP BY kind")
 def flow_edges(spark, sf):
-    return rank.flow_counts(P.graph(spark, sf))
+    return rank.flow_counts(P.index(spark, sf))
 
 
 @_register(f"WITH {S.NODES} SELECT id, short, project, array_to_string(tags, ',') AS tags FROM nodes WHERE {S.ENTRY}")
 def entrypoints(spark, sf):
-    return rank.entrypoints(P.graph(spark, sf))
+    return rank.entrypoints(P.index(spark, sf))
 
 
 @_register(f"WITH {S.NODES} SELECT id, short, project, array_to_string(tags, ',') AS tags FROM nodes WHERE {S.ENTRY} AND starts_with(lower(file), 'africa/') AND (contains(lower(short), '7') OR len(list_filter(tags, lambda t: contains(lower(t), '7'))) > 0)")
 def entrypoints_filtered(spark, sf):
-    return rank.entrypoints(P.graph(spark, sf), wanted="7", prefix="Africa\\")
+    return rank.entrypoints(P.index(spark, sf), wanted="7", prefix="Africa\\")
 
 
 @_register(f"WITH {S.NODES} SELECT project, count(*) AS tests FROM nodes WHERE {S.TEST} GROUP BY project")
 def tests(spark, sf):
-    return P.nodes(spark, sf).where(is_test()).groupBy("project").agg(F.count(F.lit(1)).alias("tests"))
+    return P.index(spark, sf).nodes.where(is_test()).groupBy("project").agg(F.count(F.lit(1)).alias("tests"))
 
 
 @_register(f"WITH {S.GRAPH} SELECT (SELECT count(DISTINCT lower(file)) FROM nodes WHERE file <> '') AS files, (SELECT count(*) FROM nodes) AS symbols, (SELECT count(*) FROM edges) AS edges")
 def map_header(spark, sf):
-    return rank.map_header(P.graph(spark, sf))
+    return rank.map_header(P.index(spark, sf))
 
 
 @_register(f"WITH {S.GRAPH}, n AS (SELECT * FROM nodes WHERE starts_with(lower(file), 'asia/')) SELECT (SELECT count(DISTINCT lower(file)) FROM n) AS files, (SELECT count(*) FROM n) AS symbols, (SELECT count(*) FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)) AS edges")
 def map_header_under(spark, sf):
-    return rank.map_header(P.graph(spark, sf), "ASIA/")
+    return rank.map_header(P.index(spark, sf), "ASIA/")
 
 
 _DEPTH = f"{S.REFS}, chain AS (WITH RECURSIVE c AS (SELECT src AS root, dst AS low, 1 AS d FROM refs UNION SELECT root, dst, d + 1 FROM c JOIN refs ON src = low) SELECT root AS project, max(d) AS depth FROM c GROUP BY root)"
@@ -115,7 +111,7 @@ def project_closure(spark, sf):
 def map_projects(spark, sf):
     refs = P.project_refs(spark, sf)
     names = P.table(spark, sf, "region").select(F.col("r_name").alias("project"))
-    return rank.map_projects(P.graph(spark, sf), refs, walk.project_depths(names, refs))
+    return rank.map_projects(P.index(spark, sf), refs, walk.project_depths(names, refs))
 
 
 @_register(
@@ -123,7 +119,7 @@ def map_projects(spark, sf):
     "SELECT file, count(DISTINCT id) AS entrypoints, array_to_string(list_sort(list_distinct(array_agg(split_part(tag, ':', 1)))), ',') AS kinds FROM e GROUP BY file ORDER BY entrypoints DESC, file LIMIT 5"
 )
 def map_entrypoints(spark, sf):
-    return rank.map_entrypoints(P.graph(spark, sf))
+    return rank.map_entrypoints(P.index(spark, sf))
 
 
 _BUSY = "SELECT n.id, n.short, count(*) AS callers FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.kind <> 'TypeUse' AND NOT list_contains(n.tags, 'test') AND n.kind IN ({}) GROUP BY n.id, n.short HAVING count(*) > 1 ORDER BY callers DESC, n.id LIMIT {}"
@@ -131,22 +127,22 @@ _BUSY = "SELECT n.id, n.short, count(*) AS callers FROM edges e JOIN nodes n ON
 
 @_register(f"WITH {S.GRAPH} " + _BUSY.format("'method', 'type', 'interface'", 5))
 def map_busiest(spark, sf):
-    return rank.busiest(P.graph(spark, sf), ("method", "type", "interface"), 5)
+    return rank.busiest(P.index(spark, sf), ("method", "type", "interface"), 5)
 
 
 @_register(f"WITH {S.GRAPH} " + _BUSY.format("'property', 'field', 'enum-member'", 3))
 def map_most_read(spark, sf):
-    return rank.busiest(P.graph(spark, sf), ("property", "field", "enum-member"), 3)
+    return rank.busiest(P.index(spark, sf), ("property", "field", "enum-member"), 3)
 
 
 @_register(f"WITH {S.PLACE}, {S.edges()} SELECT kind, count(*) AS edges, count(*) FILTER (WHERE score < 0.8) AS inferred, count(DISTINCT source) AS sources, round(min(score), 6) AS lowest FROM edges GROUP BY kind")
 def doctor_quality(spark, sf):
-    return rank.edge_quality(P.graph(spark, sf))
+    return rank.edge_quality(P.index(spark, sf))
 
 
 @_register(f"WITH {S.PLACE}, {S.edges()} SELECT source, count(*) AS edges, round(min(confidence), 6) AS lowest FROM edges WHERE confidence IS NOT NULL GROUP BY source")
 def doctor_inferred(spark, sf):
-    return rank.inferred_by_source(P.graph(spark, sf))
+    return rank.inferred_by_source(P.index(spark, sf))
 
 
 _USAGE = f"WITH {S.LOG} SELECT {{0}}, count(*) AS runs, CAST(median(ms) AS DOUBLE) AS median_ms, CAST(median(out_tokens) AS DOUBLE) AS median_tokens, count(DISTINCT session) AS sessions, count(*) FILTER (WHERE exit = 0) AS hits FROM log {{1}} GROUP BY {{0}}"
@@ -181,7 +177,7 @@ def usage_never_used(spark, sf):
     f"SELECT dst AS id, o.kind, note, score, {S.TEST} AS is_test, site, CAST(row_number() OVER (ORDER BY bound DESC, {S.TEST}, score DESC, ord) AS INTEGER) AS place FROM o JOIN nodes n ON n.id = dst WHERE rn = 1"
 )
 def impl(spark, sf):
-    return rank.implementations(P.graph(spark, sf), TARGET)
+    return rank.implementations(P.index(spark, sf), TARGET)
 
 
 @_register(
@@ -189,7 +185,7 @@ def impl(spark, sf):
     "SELECT e.src, e.dst, e.kind, coalesce(e.site, x.site, t.site) AS site, CAST((x.dst IS NOT NULL)::INTEGER AS BIGINT) AS matching, coalesce(t.total, 0) AS total FROM edges e LEFT JOIN b x ON x.src = e.src AND x.dst = e.dst LEFT JOIN b t ON t.src = e.src AND t.rn = 1 WHERE e.kind IN ('Interface', 'Override')"
 )
 def hop_site(spark, sf):
-    return rank.wiring_sites(P.graph(spark, sf))
+    return rank.wiring_sites(P.index(spark, sf))
 
 
 _OWNED = (
@@ -200,7 +196,7 @@ _OWNED = (
 
 @_register(f"WITH {S.GRAPH}, {_OWNED} SELECT id, owner FROM owned")
 def declaring_types(spark, sf):
-    return walk.declaring_types(P.graph(spark, sf))
+    return walk.declaring_types(P.index(spark, sf))
 
 
 @_register(
@@ -208,14 +204,14 @@ def declaring_types(spark, sf):
     f"SELECT n.id, {S.TEST} AS is_test FROM c JOIN nodes n ON n.id = c.id LEFT JOIN owned o ON o.id = n.id WHERE n.id <> {TARGET} AND coalesce(o.owner, 0) <> {TARGET} AND NOT starts_with(n.name, (SELECT name || '.' FROM nodes WHERE id = {TARGET}))"
 )
 def direct_callers(spark, sf):
-    return walk.direct_callers(_stored(spark, sf), TARGET)
+    return walk.direct_callers(P.index(spark, sf), TARGET)
 
 
 @_register(
     f"WITH {S.PLACE}, {S.edges()}, d AS (SELECT src AS id FROM edges WHERE dst = {PARTNER} AND kind = 'Call' AND role & 2 <> 0), i AS (SELECT e.src AS id FROM edges e JOIN d ON d.id = e.dst WHERE e.kind = 'Interface') SELECT id, min(via) AS via FROM (SELECT id, 'direct' AS via FROM d UNION ALL SELECT id, 'via-interface' FROM i) GROUP BY id"
 )
 def blast_writes(spark, sf):
-    return walk.writers(P.graph(spark, sf), PARTNER)
+    return walk.writers(P.index(spark, sf), PARTNER)
 
 
 # Walks
@@ -226,12 +222,12 @@ _REACH = f"WITH {S.GRAPH}, {S.expanded('x', TARGET)}, {S.walk('x', 3, chr(101) +
 
 @_register(f"{_BLAST} SELECT id, level, round(score, 6) AS score, source, parent FROM found")
 def blast_radius(spark, sf):
-    return walk.blast_radius(_stored(spark, sf), TARGET).select("id", "level", F.round("score", 6).alias("score"), "source", "parent")
+    return walk.blast_radius(P.index(spark, sf), TARGET).select("id", "level", F.round("score", 6).alias("score"), "source", "parent")
 
 
 @_register(f"{_BLAST} SELECT project, count(*) AS reached FROM found JOIN nodes USING (id) GROUP BY project")
 def blast_projects(spark, sf):
-    return walk.blast_projects(_stored(spark, sf), TARGET)
+    return walk.blast_projects(P.index(spark, sf), TARGET)
 
 
 @_register(
@@ -239,12 +235,12 @@ def blast_projects(spark, sf):
     "UNION ALL SELECT DISTINCT 'indirect-type', CASE WHEN kind IN ('type', 'interface', 'enum') THEN r.id ELSE o.owner END FROM r LEFT JOIN owned o ON o.id = r.id WHERE level > 1 AND (kind IN ('type', 'interface', 'enum') OR o.owner IS NOT NULL)"
 )
 def blast_sections(spark, sf):
-    return walk.blast_sections(_stored(spark, sf), TARGET)
+    return walk.blast_sections(P.index(spark, sf), TARGET)
 
 
 @_register(f"{_REACH} SELECT id, level, round(score, 6) AS score FROM found")
 def reverse_reach(spark, sf):
-    return walk.reverse_reach(_stored(spark, sf), TARGET).select("id", "level", F.round("score", 6).alias("score"))
+    return walk.reverse_reach(P.index(spark, sf), TARGET).select("id", "level", F.round("score", 6).alias("score"))
 
 
 _FLOW_E = "e.kind IN ('Call', 'Mediatr', 'Interface', 'Override', 'Construct', 'Route') AND e.note IS DISTINCT FROM 'prop'"
@@ -253,12 +249,12 @@ _TRACE = f"WITH {S.GRAPH}, s AS (SELECT {START} AS id, 0 AS ord), " + S.walk("s"
 
 @_register(f"{_TRACE} SELECT level, parent, id, kind, note, round(score, 6) AS score FROM found")
 def trace_bfs(spark, sf):
-    return walk.trace(_stored(spark, sf), START, 3).select("level", "parent", "id", "kind", "note", F.round("score", 6).alias("score"))
+    return walk.trace(P.index(spark, sf), START, 3).select("level", "parent", "id", "kind", "note", F.round("score", 6).alias("score"))
 
 
 @_register(f"{_TRACE}, c AS (SELECT level, sum(ceil((length(n.short) + 1) / 4.0)) AS cost FROM found f JOIN nodes n ON n.id = f.id GROUP BY level) SELECT CAST(coalesce(max(level), 1) AS INTEGER) AS depth FROM (SELECT level, sum(cost) OVER (ORDER BY level) AS upto FROM c) WHERE upto <= 0.85 * 600")
 def trace_depth(spark, sf):
-    g = _stored(spark, sf)
+    g = P.index(spark, sf)
     rows = walk.trace(g, START, 3).join(g.nodes.select("id", "short"), "id")
     return walk.depth_that_fits(rows.select("level", token_cost("short").alias("cost")), 600)
 
@@ -272,12 +268,12 @@ _PATH = (
 
 @_register(f"{_PATH} SELECT CAST(p.level AS INTEGER) AS hop, p.id, p.kind, p.note, coalesce(e.score, 1.0) AS score FROM p LEFT JOIN edges e ON e.src = p.parent AND e.dst = p.id AND e.kind = p.kind")
 def path_rows(spark, sf):
-    return walk.shortest_path(_stored(spark, sf), START, GOAL)
+    return walk.shortest_path(P.index(spark, sf), START, GOAL)
 
 
 @_register(f"{_PATH} SELECT CAST(coalesce(max(level), 0) AS BIGINT) AS hops FROM p")
 def path_hops(spark, sf):
-    return walk.hops(_stored(spark, sf), START, GOAL)
+    return walk.hops(P.index(spark, sf), START, GOAL)
 
 
 @_register(
@@ -285,7 +281,7 @@ def path_hops(spark, sf):
     f"d AS (WITH RECURSIVE r AS (SELECT CAST({START} AS BIGINT) AS id, 0 AS l UNION SELECT y, l + 1 FROM r JOIN b ON x = id WHERE l < 9) SELECT id, min(l) AS l FROM r GROUP BY id) SELECT l AS distance, l <= 1 AS within, count(*) AS nodes FROM d WHERE l > 0 GROUP BY l"
 )
 def neighbourhood(spark, sf):
-    return structure.around(_stored(spark, sf), START, 1)
+    return structure.around(P.index(spark, sf), START, 1)
 
 
 # Names
@@ -297,7 +293,7 @@ def neighbourhood(spark, sf):
     "SELECT q, CAST(tier AS INTEGER) AS tier, id FROM (SELECT *, min(tier) OVER (PARTITION BY q) AS m, row_number() OVER (PARTITION BY q, tier ORDER BY id) AS rn FROM t WHERE tier IS NOT NULL) WHERE tier = m AND (tier < 5 OR rn <= 40)"
 )
 def resolve_cascade(spark, sf):
-    return resolve.resolve(P.graph(spark, sf), _asked(spark, QUESTIONS))
+    return resolve.resolve(P.index(spark, sf), _asked(spark, QUESTIONS))
 
 
 def _tokens_sql(x: str) -> str:
@@ -318,7 +314,7 @@ def _tokens_sql(x: str) -> str:
     "SELECT q, id, CAST(score AS BIGINT) AS score, why FROM w UNION ALL SELECT q, id, CAST(score AS BIGINT), 'typo' FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, length(short), id) AS rn FROM ty) WHERE rn <= 5"
 )
 def suggest(spark, sf):
-    return resolve.suggest(P.graph(spark, sf), _asked(spark, MISSPELT))
+    return resolve.suggest(P.index(spark, sf), _asked(spark, MISSPELT))
 
 
 def _lex(t: str) -> str:
@@ -335,7 +331,7 @@ _LEX = (
 
 @_register(f"WITH {S.NODES}, {_LEX} SELECT id, CAST(lexical AS INTEGER) AS lexical, why FROM lex")
 def where_lexical(spark, sf):
-    return resolve.where_lexical(P.graph(spark, sf), list(TERMS)).select("id", "lexical", "why")
+    return resolve.where_lexical(P.index(spark, sf), list(TERMS)).select("id", "lexical", "why")
 
 
 @_register(
@@ -349,12 +345,12 @@ def where_lexical(spark, sf):
     "SELECT id, CAST(lexical AS INTEGER) AS lexical, why, callers, entrypoints, round(CAST(score AS DOUBLE), 6) AS score FROM dm ORDER BY score DESC, lexical DESC, length(short), id LIMIT 8"
 )
 def where_ranked(spark, sf):
-    return resolve.where(_stored(spark, sf), list(TERMS))
+    return resolve.where(P.index(spark, sf), list(TERMS))
 
 
 @_register(f"WITH {S.NODES}, {_LEX} SELECT key, id FROM lex")
 def where_unranked(spark, sf):
-    return resolve.where_unranked(P.graph(spark, sf), list(TERMS))
+    return resolve.where_unranked(P.index(spark, sf), list(TERMS))
 
 
 # Structure
@@ -364,7 +360,7 @@ _MUTUAL = "cl AS MATERIALIZED (WITH RECURSIVE r AS (SELECT src, dst FROM cg UNIO
 
 
 def _constructs(spark, sf):
-    return P.edges(spark, sf).where("kind = 'Construct'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return P.index(spark, sf).edges.where("kind = 'Construct'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
 @_register(f"WITH {S.PLACE}, {S.edges()}, {_NATIONS}, {_MUTUAL} SELECT node, component FROM scc")
@@ -374,7 +370,7 @@ def cycles_groups(spark, sf):
 
 @_register(f"WITH {S.GRAPH}, g AS (SELECT id, short AS grp FROM nodes WHERE kind IN ('type', 'interface') UNION ALL SELECT e.dst, min_by(n.short, e.ord) FROM edges e JOIN nodes n ON n.id = e.src JOIN nodes m ON m.id = e.dst WHERE e.kind = 'TypeUse' AND n.kind IN ('type', 'interface') AND m.kind NOT IN ('type', 'interface') GROUP BY e.dst) SELECT DISTINCT x.grp AS a, y.grp AS b FROM edges e JOIN g x ON x.id = e.src JOIN g y ON y.id = e.dst WHERE e.{S.FLOW.replace(' AND note', ' AND e.note')} AND x.grp <> y.grp")
 def cycles_collapsed(spark, sf):
-    return structure.collapsed(P.graph(spark, sf), "type")
+    return structure.collapsed(P.index(spark, sf), "type")
 
 
 @_register()
@@ -394,22 +390,22 @@ _SPACES = "g AS MATERIALIZED (SELECT n.id, regexp_extract(coalesce(o.outer_, n.n
 
 @_register(f"WITH {S.GRAPH}, {_SHOWN}, g AS (SELECT id, project AS grp FROM shown) {_VIEW}")
 def export_project(spark, sf):
-    return structure.exported(P.graph(spark, sf), "project")
+    return structure.exported(P.index(spark, sf), "project")
 
 
 @_register(f"WITH {S.GRAPH}, {_SHOWN}, {_SPACES} {_VIEW}")
 def export_namespace(spark, sf):
-    return structure.exported(_stored(spark, sf), "namespace")
+    return structure.exported(P.index(spark, sf), "namespace")
 
 
 @_register(f"WITH {S.NODES} SELECT DISTINCT project AS name, 'n_' || substr(sha256(project), 1, 8) AS id FROM nodes")
 def stable_ids(spark, sf):
-    return structure.stable_ids(P.nodes(spark, sf).select(F.col("project").alias("name")))
+    return structure.stable_ids(P.index(spark, sf).nodes.select(F.col("project").alias("name")))
 
 
 def _drawn(form: str):
     def f(spark, sf):
-        return structure.diagram(structure.exported(P.graph(spark, sf), "project"), form).select("place.part", "place.sort", "line")
+        return structure.diagram(structure.exported(P.index(spark, sf), "project"), form).select("place.part", "place.sort", "line")
 
     return f
 
@@ -431,7 +427,7 @@ _RANK = "CAST(CASE r.kind WHEN 'DiBinding' THEN 0 WHEN 'Mediatr' THEN 1 WHEN 'Ro
 
 
 def _found(spark, sf):
-    return compare.changes(compare.facts(P.graph(spark, sf, SPLIT)), compare.facts(P.graph(spark, sf)))
+    return compare.changes(compare.facts(P.index(spark, sf, SPLIT)), compare.facts(P.index(spark, sf)))
 
 
 @_register(f"{_CHANGES} SELECT id, relation, {_RANK}, r.kind AS kind, r.from_key AS from_key, r.to_key AS to_key, r.note AS note, before, now FROM ch")
@@ -456,7 +452,7 @@ def _bindings(moved: bool) -> str:
 @_register(f"WITH {S.PLACE}, o AS ({_bindings(False)}), n AS ({_bindings(True)}) SELECT o.from_key, o.to_key, o.note AS was, n.note AS becomes FROM o JOIN n USING (from_key, to_key) WHERE o.note <> n.note")
 def lifetime_shifts(spark, sf):
     """Between the projected bindings and those in which every fifth supplier's lifetime is the other one."""
-    g = P.graph(spark, sf)
+    g = P.index(spark, sf)
     other = F.when(F.col("note") == "scoped", "transient").otherwise("scoped")
     moved = g.edges.withColumn("note", F.when((F.col("kind") == "DiBinding") & (F.col("dst") % 5 == 0), other).otherwise(F.col("note")))
     return compare.lifetime_shifts(compare.changes(compare.facts(g), compare.facts(Graph(g.nodes, moved))))
@@ -466,7 +462,7 @@ _LINES = f"SELECT n_file AS file, 100 * c_custkey + 1 + nth AS line FROM (SELECT
 
 
 def _changed_lines(spark, sf):
-    nodes = P.nodes(spark, sf)
+    nodes = P.index(spark, sf).nodes
     day = P.table(spark, sf, "orders").where("o_orderdate = timestamp'1998-10-03'").select((P.ORDER + F.col("o_orderkey")).alias("id"))
     a = nodes.join(day, "id", "left_semi").select("file", F.col("line").cast("long").alias("line"))
     b = nodes.where("id BETWEEN 4000000000 AND 4999999999 AND id % 50 = 3").select("file", (F.col("line") + 59).cast("long").alias("line"))
@@ -479,7 +475,7 @@ _COVER = f"lines AS MATERIALIZED ({_LINES}), cover AS MATERIALIZED (SELECT file,
 
 @_register(f"WITH {S.NODES}, {_COVER} SELECT file, CAST(line AS BIGINT) AS line, id FROM cover")
 def diff_covering(spark, sf):
-    return compare.covering(P.graph(spark, sf), _changed_lines(spark, sf))
+    return compare.covering(P.index(spark, sf), _changed_lines(spark, sf))
 
 
 @_register(
@@ -490,7 +486,7 @@ def diff_covering(spark, sf):
 def diff_impact(spark, sf):
     from ..tables import written
 
-    g = _stored(spark, sf)
+    g = P.index(spark, sf)
     changed = written(compare.covering(g, _changed_lines(spark, sf)).select("id").distinct())
     return compare.diff_impact(g, changed)
 
@@ -524,31 +520,31 @@ _REASONS = "rs AS MATERIALIZED (SELECT n.id, s.kind, s.reason, count(*) AS n FRO
 
 @_register(f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS} SELECT id, kind, reason, n FROM rs WHERE id BETWEEN 1000000000 AND 2999999999 OR id = 4000000012")
 def silence_reasons(spark, sf):
-    g = P.graph(spark, sf)
+    g = P.index(spark, sf)
     return explain.reasons(g, g.nodes.where("id BETWEEN 1000000000 AND 2999999999 OR id = 4000000012"))
 
 
 @_register(f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS} SELECT (SELECT count(*) FROM edges WHERE src = {TARGET} AND {S.FLOW}) AS outgoing, (SELECT count(*) FROM edges WHERE dst = {TARGET} AND kind <> 'TypeUse') AS incoming, CAST((SELECT sum(n) FROM rs WHERE id = {TARGET}) AS BIGINT) AS reasons")
 def silence(spark, sf):
-    return explain.silence(P.graph(spark, sf), TARGET)
+    return explain.silence(P.index(spark, sf), TARGET)
 
 
 @_register(f"WITH {S.GRAPH}, {S.expanded('x', START)}, " + S.walk("x", 5, _FLOW_E, "x", rank="CAST(round((1 - e.score) * 1000000) AS BIGINT)") + f" SELECT id, CAST(level AS INTEGER) AS level FROM (SELECT id, level FROM found_0 UNION ALL SELECT id, level FROM found) WHERE id NOT IN (SELECT src FROM edges WHERE {S.FLOW})")
 def silence_dead_ends(spark, sf):
-    return explain.dead_ends(_stored(spark, sf), START)
+    return explain.dead_ends(P.index(spark, sf), START)
 
 
 @_register(f"WITH {S.NODES}, {S.UNRESOLVED} SELECT kind, file, line, expression FROM sites WHERE contains(lower(expression), '\"k') ORDER BY file, line, expression LIMIT 20")
 def silence_mentions(spark, sf):
     """The first mentions of `"k` in unresolved expressions, asked for through a node of that name."""
-    g = P.graph(spark, sf)
+    g = P.index(spark, sf)
     named = g.nodes.unionByName(g.nodes.limit(1).withColumns({"id": F.lit(-1).cast("long"), "short": F.lit('x.{"k'), "file": F.lit("")}))
     return explain.mentions(Graph(named, g.edges, unresolved=g.unresolved), -1)
 
 
 @_register(f"WITH {S.NODES} SELECT id, name, key, signature FROM nodes WHERE kind = 'method' AND lower(split_part(short, '.', -1)) = 'o77'")
 def silence_overloads(spark, sf):
-    return explain.overloads(P.graph(spark, sf), "o77")
+    return explain.overloads(P.index(spark, sf), "o77")
 
 
 @_register(
@@ -562,7 +558,7 @@ def silence_overloads(spark, sf):
     "UNION ALL SELECT 'IMPACT', 1, (SELECT count(*) FROM ca) || ' direct caller(s), ' || (SELECT count(*) FROM found) || ' reachable member(s), ' || (SELECT least(count(*), 10) FROM ep) || ' entrypoint(s)' UNION ALL SELECT 'FILES', p, file FROM fi WHERE p <= 10"
 )
 def context_sections(spark, sf):
-    return explain.context(_stored(spark, sf), TARGET)
+    return explain.context(P.index(spark, sf), TARGET)
 
 
 # Budgets, bindings and upkeep
@@ -573,7 +569,7 @@ def context_sections(spark, sf):
 )
 def budget_prefix(spark, sf):
     """What fits an answer of 600 tokens of which 40 are kept for a closing mark, by project."""
-    return rank.within_budget(P.nodes(spark, sf).select("project", "id", "short"), token_cost("short"), [F.col("id")], 560, ["project"])
+    return rank.within_budget(P.index(spark, sf).nodes.select("project", "id", "short"), token_cost("short"), [F.col("id")], 560, ["project"])
 
 
 def _sends(spark, sf):
@@ -644,7 +640,7 @@ def scan_bindings(spark, sf):
 
 @_register(f"WITH {S.PLACE}, {S.edges()} SELECT e.src, e.dst, CASE WHEN b.src IS NOT NULL THEN 'di-bound' END AS note FROM edges e LEFT JOIN edges b ON b.src = e.src AND b.dst = e.dst AND b.kind = 'DiBinding' AND b.score >= 0.8 WHERE e.kind = 'Interface'")
 def indirection(spark, sf):
-    e = P.edges(spark, sf)
+    e = P.index(spark, sf).edges
     return bind.indirection(e.where("kind = 'Interface'").select("src", "dst"), e.where("kind = 'DiBinding'"))
 
 
@@ -668,7 +664,7 @@ def diagnostics(spark, sf):
 @_register(f"WITH {S.GRAPH}, t AS (SELECT DISTINCT e.dst AS id FROM edges e JOIN nodes n ON n.id = e.src WHERE e.kind = 'TypeUse' AND n.kind = 'type' AND n.id % 7 = 0) SELECT n.id, array_to_string(CASE WHEN (n.kind = 'type' AND n.id % 7 = 0 OR n.id IN (SELECT id FROM t)) AND NOT {S.TEST} THEN list_append(tags, 'test') ELSE tags END, ',') AS tags FROM nodes n")
 def test_propagation(spark, sf):
     """With every seventh type tagged a test."""
-    g = P.graph(spark, sf)
+    g = P.index(spark, sf)
     tag = F.when((F.col("kind") == "type") & (F.col("id") % 7 == 0), F.array_union("tags", F.array(F.lit("test")))).otherwise(F.col("tags"))
     return bind.propagate_tests(Graph(g.nodes.withColumn("tags", tag), g.edges)).withColumn("tags", F.array_join("tags", ","))
 
@@ -680,7 +676,7 @@ def _patched(spark, sf):
     """The files of three places change: every tenth node of theirs goes, one comes, and the calls of the others are found again."""
     from ..tables import written
 
-    g = _stored(spark, sf)
+    g = P.index(spark, sf)
     dirty = P._places(spark, sf).where("n_nationkey < 3").select(F.col("n_file").alias("file"))
     own = g.nodes.join(dirty, "file", "left_semi")
     new = own.where("id % 10 <> 0")

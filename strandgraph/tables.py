@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -17,8 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+_made: set[str] = set()
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, read again: outlives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/strandgraph/{uuid.uuid4().hex}"
+    """`df` as a Parquet table in the shared folder, read again: cuts the lineage and outlives a lost executor.
+
+    The tables of an application stand in a folder of its own, which goes when the driver's Python ends."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/strandgraph/{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        _made.add(folder)
+        atexit.register(_drop, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
