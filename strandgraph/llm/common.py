@@ -1,36 +1,21 @@
-"""Helpers that the operators share: tables in the shared folder, whole texts as numpy bytes, rolling hashes."""
+"""Helpers that the operators share: whole texts as numpy bytes, rolling hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from ..tables import written
+
+__all__ = ["lower", "mix", "powers", "prefix_hash", "span_hash", "text_blocks", "words", "written"]
 
 #: Odd base of the polynomial hashes modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where the session names none, as in tests."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="strandgraph-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, read again: cuts the lineage and outlives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/strandgraph/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches whose texts have about `most` bytes (a longer text comes alone): rows, bytes, row offsets. A null text is empty."""
     for batch in batches:
