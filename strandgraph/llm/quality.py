@@ -64,7 +64,7 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, penalty: float = 1.0, least: float = 4.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, penalty: float = 1.0, least: float = 1.0) -> Trees:
     """Boosting of the logistic loss. Without rows of both labels, trees are empty and the score is the smoothed share of label 1."""
     inner, leaves = (1 << depth) - 1, 1 << depth
     rate0 = (y.sum() + 1) / (len(y) + 2)
