@@ -85,7 +85,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return rows.where(F.size("embedding") == (length["d"] if length else 0)).distinct()
 
 
-def build_index(vectors: DataFrame, copies: int = 11, sample: int = 16384, threshold: float = 0.2) -> tuple[DataFrame, np.ndarray]:
+def build_index(vectors: DataFrame, copies: int = 11, sample: int = 8192, threshold: float = 0.2) -> tuple[DataFrame, np.ndarray]:
     """(vec_id, embedding, code) of the usable vectors, at most `copies` of each distinct one, and the codebooks.
 
     The books are fitted on at most `sample` vectors, by the order of a hash of the id. `threshold` is the cosine from which on
@@ -93,8 +93,8 @@ def build_index(vectors: DataFrame, copies: int = 11, sample: int = 16384, thres
     rows = usable(vectors)
     same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
     rows = written(rows.withColumn("rank", F.row_number().over(same)).where(F.col("rank") <= copies).drop("rank"))
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
-    data = np.array(picked.embedding.tolist(), float).reshape(len(picked), -1)
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
+    data = np.asarray(picked.flatten()).reshape(len(picked), -1) if len(picked) else np.zeros((0, 1))
     eta = max(1.0, (data.shape[1] - 1) * threshold**2 / (1 - threshold**2))
     books = train(data, eta)
 
