@@ -159,7 +159,7 @@ def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 10,
     parts, held = [], []
 
     def add() -> None:
-        ids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float).reshape(len(held), -1)
+        ids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float).reshape(len(held), -1 if held else 0)
         parts.append(rows.mapInArrow(lambda b: _scan(b, ids, q, books, k, rerank), "query_id long, vec_id long, score double"))
         held.clear()
 
