@@ -26,19 +26,39 @@ def dot(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
-def question_kind(text: Column, config_roots: tuple[str, ...] = ("connectionstrings", "logging", "serilog", "kestrel")) -> Column:
-    """What an input that names no symbol asks for; the first rule that holds."""
-    low = F.lower(F.trim(text))
+#: Endings of files that are no sources, and the first parts of configuration keys.
+OTHER_FILES = (
+    ".json", ".yml", ".yaml", ".xml", ".config", ".razor", ".cshtml", ".html", ".css",
+    ".js", ".ts", ".sql", ".md", ".txt", ".props", ".targets", ".sh", ".ps1", ".env",
+    ".csproj", ".sln", ".slnx",
+)
+CONFIG_ROOTS = (
+    "connectionstrings", "logging", "loglevel", "serilog", "kestrel", "allowedhosts", "applicationinsights", "authentication", "jwt", "cors", "healthchecks", "featureflags", "opentelemetry", "hangfire", "redis", "rabbitmq", "masstransit",
+)
+
+
+def question_kind(text: Column, assemblies: Column | None = None) -> Column:
+    """(kind, decisive) of an input that names no symbol, by the first rule that holds; kind `symbol` if none does.
+
+    assemblies: an array of the names of assemblies that the graph's external types come from."""
+    q = F.trim(text)
+    low = F.lower(q)
+    is_file = low.startswith("dockerfile")
+    for e in OTHER_FILES:
+        is_file = is_file | low.endswith(e)
+    has = lambda c: F.contains(q, F.lit(c))
+    route = ~low.endswith(".cs") & (low.startswith("/") | low.startswith("api/") | (has("/") & ~has("\\") & ~is_file))
+    package = F.lit(False) if assemblies is None else F.exists(assemblies, lambda a: (F.lower(a) == low) | F.startswith(F.lower(a), F.concat(low, F.lit("."))))
     rules = [
-        ("comment-marker", low.isin("todo", "fixme", "hack")),
-        ("route", low.startswith("/") | low.rlike(r"^(get|post|put|patch|delete|head|options)\s+/")),
-        ("environment-variable", text.rlike(r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$")),
-        ("file", low.rlike(r"\.(cs|csproj|sln|slnx|json|xml|yml|yaml|md|razor|cshtml|sql|config|props|targets|ts|js|css|html|sh|ps1)$")),
-        ("configuration-key", F.contains(low, F.lit(":")) | low.isin(*config_roots)),
-        ("package", text.rlike(r"^(Microsoft|System|Newtonsoft|Serilog|AutoMapper|NUnit|xunit)(\.[A-Za-z0-9]+)+$")),
-        ("prose", F.contains(low, F.lit(" "))),
+        ("comment", low.startswith("todo") | low.startswith("fixme") | low.startswith("hack"), F.lit(True)),
+        ("route", route, F.lit(True)),
+        ("environment-variable", (F.length(q) > 2) & has("_") & q.rlike(r"^[\p{Lu}\p{Nd}_]+$"), F.lit(True)),
+        ("file", is_file, F.lit(True)),
+        ("configuration-key", has(":") | F.substring_index(low, ".", 1).isin(*CONFIG_ROOTS), has(":")),
+        ("package", package, F.lit(False)),
+        ("prose", has(" "), F.lit(True)),
     ]
-    out = F.lit("symbol")
-    for name, rule in reversed(rules):
-        out = F.when(rule, name).otherwise(out)
+    out = F.struct(F.lit("symbol").alias("kind"), F.lit(False).alias("decisive"))
+    for name, rule, decisive in reversed(rules):
+        out = F.when(rule, F.struct(F.lit(name).alias("kind"), decisive.alias("decisive"))).otherwise(out)
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import is_entrypoint, is_test, leaf, owner
-from ..functions.text import identifier_tokens
+from ..functions.text import identifier_tokens, question_kind
 from ..graph import Graph
 from ..tables import written
 from . import walk
@@ -227,3 +227,22 @@ def demoted(rows: DataFrame) -> DataFrame:
 def where_unranked(graph: Graph, terms: list[str]) -> DataFrame:
     """(key, id) of all nodes that a term finds."""
     return where_lexical(graph, terms).select("id").join(graph.nodes.select("id", "key"), "id").select("key", "id")
+
+
+def missing(graph: Graph, questions: DataFrame) -> DataFrame:
+    """(q, answer, text, id): for names that nothing answers to, what to say, by the first that applies.
+
+    external: a type of that name is used but comes from elsewhere (its assembly). An input that is clearly no symbol: its kind.
+    suggestion: a node with a similar name (its reason, its id), up to five. An input that may be no symbol: its kind. Else nothing."""
+    ask = written(asked(questions.select("q").distinct()))
+    spark = ask.sparkSession
+    outside = graph.external_types if graph.external_types is not None else spark.createDataFrame([], "name string, assembly string")
+    names = outside.agg(F.collect_set(F.when(F.col("assembly") != "", F.col("assembly"))).alias("assemblies"))  # a bounded list: see bind.record_external
+    first = outside.groupBy(F.lower("name").alias("leaf")).agg(F.min("assembly").alias("assembly"))
+    found = ask.crossJoin(F.broadcast(names)).select("q", F.lower(leaf("q")).alias("leaf"), question_kind(F.col("q"), F.col("assemblies")).alias("k")).join(first, "leaf", "left")
+    near = suggest(graph, ask)
+    found = written(found.join(near.select("q").distinct().withColumn("near", F.lit(True)), "q", "left"))
+    what = F.when(F.col("assembly").isNotNull(), "external").when(F.col("k.decisive"), F.col("k.kind")).when(F.col("near"), "suggestion").when(F.col("k.kind") != "symbol", F.col("k.kind")).otherwise("nothing")
+    rows = found.select("q", what.alias("answer"), F.when(F.col("assembly").isNotNull(), F.col("assembly")).otherwise("").alias("text"))
+    hits = rows.where("answer = 'suggestion'").drop("text").join(near.select("q", F.col("why").alias("text"), "id"), "q")
+    return rows.where("answer <> 'suggestion'").withColumn("id", F.lit(None).cast("long")).unionByName(hits)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandgraph.functions import present
 from strandgraph.graph import EDGES, NODES, Graph
 from strandgraph.operators import bind, compare, explain, rank, resolve, structure, walk
 
@@ -173,3 +174,21 @@ def test_budget(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 4), ("a", 3, 1), ("b", 1, 3)], "g string, o int, c int")
     got = rank.within_budget(rows, F.col("c"), [F.col("o")], 9, ["g"]).collect()
     assert sorted((r["g"], r["o"], r["cut"]) for r in got) == [("a", 1, True), ("a", 2, True), ("b", 1, False)]
+
+
+def test_missing(spark):
+    outside = spark.createDataFrame([("HttpClient", "System.Net.Http", ["a.cs:1"])], "name string, assembly string, sites array<string>")
+    g = graph(spark, [node(1, "Store.DeleteAsync")], [], external_types=outside)
+    ask = spark.createDataFrame([(x,) for x in ("X.HttpClient", "A:B", "DeleteCredentialAsync", "System.Net", "zzz")], "q string")
+    got = {r["q"]: (r["answer"], r["text"], r["id"]) for r in resolve.missing(g, ask).collect()}
+    assert got == {"X.HttpClient": ("external", "System.Net.Http", None), "A:B": ("configuration-key", "", None), "DeleteCredentialAsync": ("suggestion", "contains", 1), "System.Net": ("package", "", None), "zzz": ("nothing", "", None)}
+
+
+def test_answers(spark):
+    g = graph(spark, [node(1, "T", "type", "a.cs", 3, 9, ("handler", "odd", "http:GET /x")), node(2, "T.m", "method")], [call(1, 2, "Interface", "di-bound", 0.9), call(2, 1), call(1, 2, "Mediatr", "via Send(X)"), call(1, 2, "DiBinding", "scoped"), call(1, 2, "Construct", None, 0.5)])
+    assert [r[0] for r in g.edges.orderBy("ord").select(present.mark()).collect()] == ["[impl, di-bound ?0.90]", "", "[mediatr via Send(X)]", "[di:scoped]", "[new ?0.50]"]
+    assert [r[0] for r in g.edges.orderBy("ord").select(present.relation()).collect()] == ["impl", "call", "mediatr", "di", "new"]
+    rows = {r["id"]: r for r in present.answer(g.nodes, spark.createDataFrame([("A.cs",)], "file string")).collect()}
+    assert rows[1]["stale"] and rows[1]["end_line"] == 9 and not rows[2]["stale"] and rows[2]["file"] is None and rows[2]["tags"] is None
+    assert [tuple(r) for r in g.nodes.orderBy("id").select(present.place(), F.array_join(present.shown_tags(), " ")).collect()] == [("a.cs:3-9", "handler http:GET /x"), ("", "")]
+    assert spark.range(1).select(present.remedy(F.lit("no-handler")), present.remedy(F.lit("?"))).first()[1] == "open the file to see"

@@ -125,6 +125,8 @@ def test_text(spark):
     words = {"DeleteAsync": ["delete", "async"], "HTTPServer_name": ["http", "server", "name"], "a.b": ["a.b"], "x": ["x"], "v2Api": ["v2", "api"]}
     df = spark.createDataFrame([(k,) for k in words], "t string")
     assert {r["t"]: r["w"] for r in df.select("t", text.identifier_tokens(F.col("t")).alias("w")).collect()} == words
-    kinds = {"TODO": "comment-marker", "GET /x": "route", "/orders": "route", "MY_VAR": "environment-variable", "a.json": "file", "A:B": "configuration-key", "Serilog.Sinks": "package", "how does it": "prose", "Foo.Bar": "symbol"}
+    kinds = {"TODO x": "comment", "/orders": "route", "api/x": "route", "a/b": "route", "MY_VAR": "environment-variable", "a/b.json": "file", "A:B": "configuration-key", "Jwt.Key": "configuration-key", "Lib": "package", "how does it": "prose", "Foo.Bar": "symbol", "src/a.cs": "symbol"}
     df = spark.createDataFrame([(k,) for k in kinds], "t string")
-    assert {r["t"]: r["k"] for r in df.select("t", text.question_kind(F.col("t")).alias("k")).collect()} == kinds
+    got = {r["t"]: r["k"] for r in df.select("t", text.question_kind(F.col("t"), F.array(F.lit("lib.core"))).alias("k")).collect()}
+    assert {k: v["kind"] for k, v in got.items()} == kinds
+    assert got["A:B"]["decisive"] and not got["Jwt.Key"]["decisive"] and not got["Lib"]["decisive"]
