@@ -6,8 +6,8 @@ tokens times `max_epochs`), and what it leaves goes to its siblings before it go
 budget of a node never exceeds what its subtree can take, one pass from the root settles all shortages.
 
 A leaf takes whole epochs, then the longest prefix of its documents, in an order seeded anew for each epoch, whose
-tokens fit. The end of the prefix is found by sums over 4096 and again 4096 ranges of the order, so that
-no task holds a hot leaf; all arithmetic is on integers. The sum of all weights may be up to 10**5."""
+tokens fit. The end of the prefix is found by sums over 256 ranges of the order, 256 ranges of one of these and again
+256, so that no task holds a hot leaf; all arithmetic is on integers. The sum of all weights may be up to 10**5."""
 
 from __future__ import annotations
 
@@ -80,10 +80,10 @@ def mix(
     budget = budget if isinstance(budget, Column) else F.lit(budget).cast("long")
     plan = leaf_budgets(leaves, names, weights, budget, max_epochs)
     plan = written(plan.select(*names, F.expr("given div tokens AS whole"), F.expr("given % tokens AS rest"), F.col("given").alias("leaf_budget")))
-    # Narrow down where the prefix of each leaf ends: the range of the first 3 digits, of the next 3, and the row.
+    # Narrow down where the prefix of each leaf ends: the range of the first 2 digits, of 4, of 6, and the row.
     at = narrow.join(plan.where("rest > 0"), names).withColumn("key", order_key(seed, F.col("whole"), F.col("id"))).select(*names, "key", "n_tokens", "rest")
     found, have = None, F.lit(0).cast("long")
-    for digits in (3, 6):
+    for digits in (2, 4, 6):
         part = F.substring("key", 1, digits).alias("part")
         rows = at if found is None else at.join(found.select(*names, F.col("part").alias("_p"), F.col("have").alias("_h")), names).where(F.col("key").startswith(F.col("_p")))
         have = F.lit(0).cast("long") if found is None else F.col("_h")
