@@ -75,6 +75,23 @@ def dead_ends(graph: Graph, start: int, depth: int = 12) -> DataFrame:
     return reached.select("id", "level").join(flow.select(F.col("src").alias("id")), "id", "left_anti")
 
 
+def silence_between(graph: Graph, start: int, goal: int, depth: int = 12, most: int = 5) -> DataFrame:
+    """(answer, id, n): why `start` doesn't reach `goal`.
+
+    path with its hops, if it does; else the dead ends of the walk with the most reasons, with their number, and reverse, with the hops
+    of the other way round, if that exists."""
+    row = lambda answer, id_, n: graph.nodes.sparkSession.range(1).select(F.lit(answer).alias("answer"), F.lit(id_).cast("long").alias("id"), F.lit(n).cast("long").alias("n"))
+    there = walk.hops(graph, start, goal, depth).first()["hops"]
+    if there:
+        return row("path", goal, there)
+    ends = dead_ends(graph, start, depth).select("id").distinct()
+    why = reasons(graph, ends).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    worst = ends.join(why, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "id").limit(most)
+    back = walk.hops(graph, goal, start, depth).first()["hops"]
+    out = worst.select(F.lit("dead-end").alias("answer"), "id", F.col("n").cast("long").alias("n"))
+    return out.unionByName(row("reverse", start, back)) if back else out
+
+
 def overloads(graph: Graph, name: str) -> DataFrame:
     """(id, name, key, signature) of the methods of a name, in order."""
     return graph.nodes.where((F.lower(leaf("short")) == name.lower()) & (F.col("kind") == "method")).select("id", "name", "key", "signature").orderBy("name", "key")

@@ -122,3 +122,31 @@ def within_budget(lines: DataFrame, cost: Column, order: list[Column], budget: i
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = lines.withColumn("cost", cost).withColumn("upto", F.sum("cost").over(w))
     return out.withColumn("cut", F.max("upto").over(Window.partitionBy(*by)) > budget).where(F.col("upto") <= budget)
+
+
+#: What of a budget is kept for a closing mark, what an opening note may take, and beyond which budget none is suggested.
+CLOSING, OPENING, CEILING = 40, 60, 4000
+
+
+def answer_lines(lines: DataFrame, order: list[Column], budget: int, by: list[str], opening: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The (by, text) lines that an answer of a budget holds, and per group (shown, total, cost, fits): its size, and the budget that would hold it all, null beyond the ceiling."""
+    from ..functions.predicates import token_cost
+
+    kept = min(opening, OPENING) + CLOSING
+    shown = within_budget(lines, token_cost("text"), order, max(0, budget - kept), by)
+    whole = lines.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.sum(token_cost("text")).alias("cost"))
+    need = F.col("cost") + kept + 10
+    sizes = whole.join(shown.groupBy(*by).agg(F.count(F.lit(1)).alias("shown")), by, "left")
+    return shown, sizes.select(*by, F.coalesce("shown", F.lit(0)).cast("long").alias("shown"), "total", "cost", F.when(need <= CEILING, need).alias("fits"))
+
+
+def usage_tail(log: DataFrame, most: int = 10) -> DataFrame:
+    """The latest invocations."""
+    return log.orderBy(F.desc("ts"), "session", "cmd").limit(most).select("ts", "cmd", "caller", "exit")
+
+
+def resolution(sites: DataFrame, calls: DataFrame, by: str) -> DataFrame:
+    """(by, calls, failed, rate): the share of calls resolved, in percent to one place, floored, where `sites` are those that weren't."""
+    both = calls.groupBy(by).agg(F.count(F.lit(1)).alias("calls")).join(sites.groupBy(by).agg(F.count(F.lit(1)).alias("failed")), by, "left")
+    failed = F.coalesce("failed", F.lit(0))
+    return both.select(by, "calls", failed.cast("long").alias("failed"), resolution_rate(F.col("calls") - failed, F.col("calls")).cast("double").alias("rate"))

@@ -115,6 +115,21 @@ def exported(graph: Graph, level: str, type_use: bool = False) -> DataFrame:
     return both.where("a <> b").groupBy("a", "b", "kind").agg(F.bit_or(F.coalesce("role", F.lit(0))).cast("long").alias("role"), F.round(F.min(score()), 6).alias("score"), F.count(F.lit(1)).alias("edges"))
 
 
+def withheld(graph: Graph, level: str) -> DataFrame:
+    """(type_use, tests, synthetic, within, drawn): why edges aren't drawn, each counted where the first rule holds, and how many are."""
+    test = graph.nodes.join(test_projects(graph).withColumn("tp", F.lit(True)), "project", "left").select("id", (is_test() | F.coalesce("tp", F.lit(False))).alias("t"), is_synthetic().alias("s"))
+    g = groups(graph, level)
+    rows = graph.edges.select("src", "dst", "kind")
+    for end in ("src", "dst"):
+        rows = rows.join(test.select(F.col("id").alias(end), F.col("t").alias(f"t_{end}"), F.col("s").alias(f"s_{end}")), end).join(g.select(F.col("id").alias(end), F.col("grp").alias(f"g_{end}")), end, "left")
+    why = (
+        F.when(F.col("kind") == "TypeUse", "type_use").when(F.col("t_src") | F.col("t_dst"), "tests").when(F.col("s_src") | F.col("s_dst"), "synthetic")
+        .when(F.col("g_src").isNull() | F.col("g_dst").isNull() | (F.col("g_src") == F.col("g_dst")), "within").otherwise("drawn")
+    )
+    names = ("type_use", "tests", "synthetic", "within", "drawn")
+    return rows.select(why.alias("why")).agg(*(F.count_if(F.col("why") == n).alias(n) for n in names))
+
+
 def stable_ids(names: DataFrame, prefix: str = "n_", digits: int = 8) -> DataFrame:
     """(name, id): a prefix and as many hex digits of the name's SHA-256 as tell it from all others, 8 or 12 and so on."""
     rows = names.select("name").distinct().select("name", F.sha2(F.col("name").cast("binary"), 256).alias("h"), F.lit(digits).alias("n"))

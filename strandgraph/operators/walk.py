@@ -220,6 +220,14 @@ def closure(refs: DataFrame, rounds: int = 64) -> DataFrame:
     return found.select(F.col("src").alias("root"), F.col("dst").alias("project"))
 
 
+def scope(refs: DataFrame, roots: DataFrame, solution: DataFrame | None = None) -> DataFrame:
+    """(project): the projects in scope: those that a solution lists (project), if there is one, else the roots (project) and what they refer to."""
+    if solution is not None:
+        return solution.select("project").distinct()
+    reached = closure(refs).join(roots.select(F.col("project").alias("root")), "root", "left_semi").select("project")
+    return roots.select("project").unionByName(reached).distinct()
+
+
 def project_depths(projects: DataFrame, refs: DataFrame, rounds: int = 64) -> DataFrame:
     """(project, depth): the length of the longest chain of references below each project; references that close a cycle don't count on."""
     depth = written(projects.select("project", F.lit(0).alias("depth")))

@@ -694,3 +694,62 @@ def incremental_edges(spark, sf):
 @_register(f"WITH {S.NODES}, {_DIRTY} SELECT id, key FROM nodes WHERE file NOT IN (SELECT file FROM dirty) OR id % 10 <> 0 UNION ALL SELECT (SELECT max(id) + 1 FROM nodes), 'method|new'")
 def incremental_upsert(spark, sf):
     return _patched(spark, sf).nodes.select("id", "key")
+
+
+@_register(
+    f"WITH {S.GRAPH}, tp AS (SELECT project FROM nodes GROUP BY project HAVING count(*) FILTER (WHERE {S.TEST}) * 2 > count(*)), n AS MATERIALIZED (SELECT id, project, {S.TEST} OR project IN (SELECT project FROM tp) AS t FROM nodes), "
+    "w AS (SELECT CASE WHEN e.kind = 'TypeUse' THEN 'type_use' WHEN a.t OR b.t THEN 'tests' WHEN a.project = b.project THEN 'within' ELSE 'drawn' END AS why FROM edges e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst) "
+    "SELECT count(*) FILTER (WHERE why = 'type_use') AS type_use, count(*) FILTER (WHERE why = 'tests') AS tests, CAST(0 AS BIGINT) AS synthetic, count(*) FILTER (WHERE why = 'within') AS within, count(*) FILTER (WHERE why = 'drawn') AS drawn FROM w"
+)
+def export_withheld(spark, sf):
+    return structure.withheld(P.index(spark, sf), "project")
+
+
+@_register(f"{_CHANGES}, c AS (SELECT id, relation, {_RANK}, r.kind AS kind, r.from_key AS from_key, r.to_key AS to_key FROM ch) SELECT relation, rank, kind, CAST(place AS INTEGER) AS place, id, from_key, to_key, CAST(greatest(n - 20, 0) AS BIGINT) AS left FROM (SELECT *, row_number() OVER (PARTITION BY relation, kind ORDER BY from_key, to_key, id) AS place, count(*) OVER (PARTITION BY relation, kind) AS n FROM c) WHERE place <= 20".replace("AS left FROM", 'AS "left" FROM'))
+def changes_report(spark, sf):
+    return compare.report(_found(spark, sf))
+
+
+@_register(f"{_CHANGES} SELECT id, r.kind AS kind, r.from_key AS from_key, r.to_key AS to_key FROM ch c WHERE relation = 'removed' AND r.kind IN ('DiBinding', 'Mediatr') AND NOT EXISTS (SELECT 1 FROM ch a WHERE a.relation = 'added' AND a.r.kind = c.r.kind AND a.r.from_key = c.r.from_key)")
+def changes_lost(spark, sf):
+    return compare.lost_wiring(_found(spark, sf))
+
+
+_DEAD = f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS}, {S.expanded('x', START)}, " + S.walk("x", 5, _FLOW_E, "x", rank="CAST(round((1 - e.score) * 1000000) AS BIGINT)")
+
+
+@_register(f"{_DEAD}, d AS (SELECT DISTINCT id FROM (SELECT id FROM found_0 UNION ALL SELECT id FROM found) WHERE id NOT IN (SELECT src FROM edges WHERE {S.FLOW})) SELECT 'dead-end' AS answer, d.id, CAST(coalesce(w.n, 0) AS BIGINT) AS n FROM d LEFT JOIN (SELECT id, count(*) AS n FROM rs GROUP BY id) w ON w.id = d.id ORDER BY n DESC, d.id LIMIT 5")
+def silence_between(spark, sf):
+    return explain.silence_between(P.index(spark, sf), START, P.REGION)
+
+
+@_register(f"WITH {S.LOG} SELECT ts, cmd, caller, exit FROM log ORDER BY ts DESC, session, cmd LIMIT 10")
+def usage_tail(spark, sf):
+    return rank.usage_tail(P.usage_log(spark, sf))
+
+
+@_register("WITH c AS (SELECT 'u' || (user_id % 7) AS project, event_type FROM events) SELECT project, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failed, floor(1000 * count(*) FILTER (WHERE event_type <> 'error') / count(*)) / 10 AS rate FROM c GROUP BY project")
+def doctor_resolution(spark, sf):
+    calls = P.table(spark, sf, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("project"), "event_type")
+    return rank.resolution(calls.where("event_type = 'error'"), calls, "project")
+
+
+@_register(f"WITH {S.NODES}, {S.REFS} SELECT project FROM (WITH RECURSIVE c AS (SELECT 'AMERICA' AS project UNION SELECT dst FROM c JOIN refs ON src = project) SELECT * FROM c)")
+def project_scope(spark, sf):
+    return walk.scope(P.project_refs(spark, sf), spark.createDataFrame([("AMERICA",)], "project string"))
+
+
+@_register(f"WITH {S.NODES}, c AS (SELECT project, id, CAST(ceil((length(short) + 1) / 4.0) AS BIGINT) AS cost FROM nodes), w AS (SELECT *, sum(cost) OVER (PARTITION BY project ORDER BY id ROWS UNBOUNDED PRECEDING) AS upto FROM c) SELECT project, count(*) FILTER (WHERE upto <= 800 - 40 - 60) AS shown, count(*) AS total, CAST(sum(cost) AS BIGINT) AS cost, CAST(CASE WHEN sum(cost) + 110 <= 4000 THEN sum(cost) + 110 END AS BIGINT) AS fits FROM w GROUP BY project")
+def budget_fit(spark, sf):
+    lines = P.index(spark, sf).nodes.select("project", "id", F.col("short").alias("text"))
+    return rank.answer_lines(lines, [F.col("id")], 800, ["project"], opening=75)[1]
+
+
+_MISSING = ("HttpClient", "A:B", "/orders/7", "Customr#000000012", "zzz")
+
+
+@_register("SELECT * FROM (VALUES ('HttpClient', 'external', 'System.Net.Http', CAST(NULL AS BIGINT)), ('A:B', 'configuration-key', '', NULL), ('/orders/7', 'route', '', NULL), ('zzz', 'nothing', '', NULL)) t(q, answer, text, id)")
+def missing_names(spark, sf):
+    g = P.index(spark, sf)
+    outside = spark.createDataFrame([("HttpClient", "System.Net.Http", ["a.cs:1"])], "name string, assembly string, sites array<string>")
+    return resolve.missing(Graph(g.nodes, g.edges, external_types=outside), _asked(spark, tuple(x for x in _MISSING if "#" not in x)))
