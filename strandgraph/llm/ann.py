@@ -137,7 +137,7 @@ def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, boo
                 score[ids[part][:, None] == vec_id[None]] = -np.inf
                 top = np.argpartition(-score, take - 1, axis=1)[:, :take]
                 diff = x[top] - q[part][:, None, :]
-                d = np.sqrt((diff * diff).sum(axis=2))
+                d = np.sqrt(np.cumsum(diff * diff, axis=2)[..., -1])  # added from the first component on, as a loop would
                 i = vec_id[top]
                 d[i == ids[part][:, None]] = np.inf
                 d, i = np.concatenate([best_d[part], d], axis=1), np.concatenate([best_i[part], i], axis=1)
