@@ -46,9 +46,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    planted = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{_SAID}'), (-7L, 1L, 'assistant', '{_SAID}') AS t(conv_id, turn, role, text)")
     examples = chat.format_chats(rows.unionByName(planted))
     # The loss text of each example, and the last example, which holds every turn.
     got = examples.groupBy("conv_id").agg(
@@ -116,7 +115,40 @@ def _fill_sql(name: str, source: str, depth: int) -> str:
 {name} AS (SELECT {path}, tokens, CASE WHEN _full THEN cap ELSE (budget - _s) * w // _r END AS budget FROM {name}_r)"""
 
 
+_SAID = "</s>[INST] ok [/INST]"
+
+
+def _escaped(x: str) -> str:
+    """The length of an escaped text: a code point more for each tilde and each control string."""
+    each = " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in ("~", "<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"))
+    return f"(length({x}) + {each})"
+
+
 SQL: dict[str, str] = {
+    "op1_suffix": """
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT r, b, unnest(range(0, octet_length(b) - 399)) AS s FROM docs WHERE octet_length(b) >= 400),
+hashed AS MATERIALIZED (SELECT r, s, md5(array_slice(b, s + 1, s + 400)) AS h FROM starts),
+twice AS (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, s FROM hashed WHERE h IN (SELECT h FROM twice)),
+marked AS (SELECT r, s, CASE WHEN s > lag(s) OVER (PARTITION BY r ORDER BY s) + 400 OR lag(s) OVER (PARTITION BY r ORDER BY s) IS NULL THEN 1 ELSE 0 END AS new FROM hit),
+runs AS (SELECT r, k, min(s) AS a, max(s) + 400 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY s) AS k FROM marked) GROUP BY r, k),
+gaps AS (SELECT r, z AS a, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), -1) AS z FROM runs UNION ALL SELECT r, 0, min(a) FROM runs GROUP BY r),
+kept AS (SELECT g.r, string_agg(hex(array_slice(b, a + 1, CASE WHEN z < 0 THEN octet_length(b) ELSE z END)), '' ORDER BY a) AS x FROM gaps g JOIN docs d ON d.r = g.r WHERE z <> a GROUP BY g.r),
+sums AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(x, '')) END) AS kept_sha256
+FROM docs LEFT JOIN sums ON sums.r = docs.r LEFT JOIN kept ON kept.r = docs.r""",
+    "op10_decontam": r"""
+WITH bench AS MATERIALIZED (SELECT *, least(13, len(tok)) AS w, CAST(least(13, len(tok)) - ceil(0.8 * least(13, len(tok)) - 1e-9) AS BIGINT) AS t FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS tok FROM benchmark WHERE item_id IS NOT NULL) WHERE len(tok) >= 5),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS tok FROM documents),
+sizes AS (SELECT DISTINCT w // (t + 1) AS g FROM bench),
+items AS (SELECT item_id, g, j, list_aggregate(tok[j + 1:j + g], 'string_agg', ' ') AS gram FROM (SELECT item_id, tok, w // (t + 1) AS g, unnest(range(0, len(tok) - w // (t + 1) + 1)) AS j FROM bench)),
+grams AS (SELECT r, g, p, list_aggregate(tok[p + 1:p + g], 'string_agg', ' ') AS gram FROM (SELECT r, tok, g, unnest(range(0, len(tok) - g + 1)) AS p FROM docs, sizes WHERE len(tok) >= g)),
+diagonals AS MATERIALIZED (SELECT DISTINCT r, item_id, p - j AS d FROM grams JOIN items USING (g, gram)),
+flags AS (SELECT c.r, c.item_id, d, w, t, greatest(0, -d) AS lo, list_transform(range(greatest(0, -d), least(len(b.tok), len(x.tok) - d)), lambda j: CASE WHEN x.tok[j + d + 1] = b.tok[j + 1] THEN 1 ELSE 0 END) AS m FROM diagonals c JOIN bench b ON b.item_id = c.item_id JOIN docs x ON x.r = c.r),
+windows AS (SELECT *, list_filter(range(0, len(m) - w + 1), lambda q: list_sum(m[q + 1:q + w]) >= w - t) AS qs FROM flags WHERE len(m) >= w),
+found AS (SELECT r, item_id, d, len(list_distinct(flatten(list_transform(qs, lambda q: range(q, q + w))))) AS matched, list_min(qs) + lo + d AS first, list_max(qs) + w - 1 + lo + d AS last, w - list_max(list_transform(qs, lambda q: list_sum(m[q + 1:q + w]))) AS subs FROM windows WHERE len(qs) > 0)
+SELECT doc_id, item_id, matched::INTEGER AS matched_tokens, first::INTEGER AS first_token, last::INTEGER AS last_token, subs::INTEGER AS substitutions FROM (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY matched DESC, d) AS rn FROM found) JOIN docs USING (r) WHERE rn = 1""",
     "op2_mixing": f"""
 WITH base AS (SELECT doc_id, {_DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents),
 leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM base GROUP BY domain, lang, source HAVING sum(n_tokens) > 0),
@@ -127,4 +159,25 @@ ranked AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER
 counted AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS n FROM ranked)
 SELECT doc_id, domain AS level_domain, lang AS level_lang, source AS level_source, CAST(n_tokens AS BIGINT) AS n_tokens, e AS epoch, CAST(leaf_budget AS BIGINT) AS leaf_budget
 FROM counted JOIN (SELECT CAST(0 AS BIGINT) AS e UNION ALL SELECT 1 UNION ALL SELECT 2) ON e < n""",
+    "op4_chat": f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')) t(conv_id, turn, role, text)),
+sized AS (SELECT *, {len(chat.OPEN) + 1 + len(chat.CLOSE)} + {_escaped("role")} + length(role) - length(replace(role, chr(10), '')) + {_escaped("text")} AS size, row_number() OVER o AS n, count(*) OVER (PARTITION BY conv_id) AS turns FROM rows
+  WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+ends AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) AS upto, role = 'assistant' OR n = turns AS target FROM sized)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(upto) FILTER (WHERE target)::BIGINT AS formatted_chars, count(*) FILTER (WHERE target) AS n_examples FROM ends GROUP BY conv_id""",
+    "op8_lines": """
+WITH parts AS MATERIALIZED (SELECT DISTINCT doc_id, CAST(n - 1 AS INTEGER) AS line_no, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id IS NOT NULL) WHERE length(l) >= 20),
+firsts AS MATERIALIZED (SELECT l, length(l) AS n, doc_id AS d, line_no AS p FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY doc_id, line_no) AS rn FROM parts) WHERE rn = 1),
+halves AS (SELECT l, n, d, p, h, left(l, h) AS half, 0 AS side FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM firsts) UNION ALL SELECT l, n, d, p, h, right(l, h), 1 FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM firsts)),
+pairs AS MATERIALIZED (SELECT DISTINCT a.l AS x, b.l AS y, a.n AS xn, b.n AS yn, b.d, b.p FROM halves a JOIN halves b ON a.side = b.side AND a.h = b.h AND a.half = b.half WHERE a.l <> b.l AND abs(a.n - b.n) <= 1 AND (b.d < a.d OR b.d = a.d AND b.p < a.p)),
+near AS (SELECT x, d, p FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY d, p) AS rn FROM pairs WHERE CASE WHEN xn = yn THEN len(list_filter(range(1, xn + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) <= 1
+  WHEN xn < yn THEN len(list_filter(range(0, yn), lambda i: left(y, i) || substr(y, i + 2) = x)) > 0 ELSE len(list_filter(range(0, xn), lambda i: left(x, i) || substr(x, i + 2) = y)) > 0 END) WHERE rn = 1)
+SELECT o.doc_id, o.line_no, coalesce(k.d, f.d) AS keep_doc_id, coalesce(k.p, f.p) AS keep_line_no, CAST(k.x IS NOT NULL AS INTEGER) AS edits FROM parts o JOIN firsts f ON f.l = o.l LEFT JOIN near k ON k.x = o.l
+WHERE o.doc_id > coalesce(k.d, f.d) OR o.doc_id = coalesce(k.d, f.d) AND o.line_no > coalesce(k.p, f.p)""",
+    "op9_ann": """
+WITH v AS MATERIALIZED (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT len(embedding) FROM embeddings WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10""",
 }
