@@ -69,10 +69,9 @@ def silence(graph: Graph, target: int) -> DataFrame:
 
 def dead_ends(graph: Graph, start: int, depth: int = 12) -> DataFrame:
     """(id, level): nodes reached from `start` or what it holds from which no flow goes on."""
-    flow = graph.edges.where(is_flow())
     begin = walk.seeds(walk.expand(graph, walk.one(graph, start)), order=F.col("ord"))
-    reached = begin.unionByName(walk.walk(flow, begin, depth, rank=[F.round((1 - score()) * 1_000_000)]))
-    return reached.select("id", "level").join(flow.select(F.col("src").alias("id")), "id", "left_anti")
+    reached = begin.unionByName(walk.walk(walk.flow(graph), begin, depth, rank=[F.round((1 - score()) * 1_000_000)]))
+    return reached.select("id", "level").join(graph.edges.where(is_flow()).select(F.col("src").alias("id")), "id", "left_anti")
 
 
 def silence_between(graph: Graph, start: int, goal: int, depth: int = 12, most: int = 5) -> DataFrame:

@@ -200,9 +200,9 @@ def where(graph: Graph, terms: list[str], take: int = 8, candidates: int = 80, d
 
     Reach is walked for the best `candidates` by words only, in full: how many nodes a walk visits isn't limited."""
     best = written(where_lexical(graph, terms).orderBy(F.desc("lexical"), F.length("short"), "id").limit(candidates))
-    reached = walk.walk(walk.upstream(graph.edges), walk.seeds(best, key=F.col("id")), depth, backward=True)
+    reached = walk.walk(walk.upstream(graph), walk.seeds(best, key=F.col("id")), depth, backward=True)
     eps = reached.join(graph.nodes.where(is_entrypoint()).select("id"), "id", "left_semi").groupBy(F.col("key").alias("id")).agg(F.count_distinct("id").alias("entrypoints"))
-    callers = walk.upstream(graph.edges).join(best.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
+    callers = graph.edges.where("kind <> 'TypeUse'").join(best.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
     rows = best.join(eps, "id", "left").join(callers, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("entrypoints", "callers")})
     tag = lambda *starts: F.exists("tags", lambda t: reduce(lambda a, b: a | b, (t.startswith(s) for s in starts)))
     wired = tag("di:") | F.exists("tags", lambda t: t.isin("handler", "consumer", "hosted"))

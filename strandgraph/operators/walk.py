@@ -6,7 +6,8 @@ it took, so ties are settled as a sequential walk would settle them, without num
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,21 +28,23 @@ def seeds(df: DataFrame, id_: str = "id", key: Column | None = None, order: Colu
     )
 
 
-def walk(edges: DataFrame, start: DataFrame, depth: int, backward: bool = False, seen: DataFrame | None = None, rank: list[Column] | None = None, allow: Callable[[int], Column] | None = None, goals: DataFrame | None = None) -> DataFrame:
+def walk(edges: DataFrame | Sequence[DataFrame], start: DataFrame, depth: int, backward: bool = False, seen: DataFrame | None = None, rank: list[Column] | None = None, allow: Callable[[int], Column] | None = None, goals: DataFrame | None = None) -> DataFrame:
     """What is reached from `start` (rows of `seeds`) in at most `depth` steps, each node once for each key, as discovered first.
 
     seen: (key, id) that are not to be discovered, `start` if not given. rank: sort keys of an edge among those of a node,
     before its ord. allow: a condition on an edge (kind, note, score) by the level of its source. goals: (id) at which
     the walk stops after the level that meets one. The score of a row is the least along its path, source that of
-    the weakest edge. The rows of `start` are not returned. `edges` is scanned for each level: give it as a table."""
+    the weakest edge. The rows of `start` are not returned. `edges`, whole or in parts, are scanned for each level: give tables."""
     at, to = ("dst", "src") if backward else ("src", "dst")
     step = F.array(*(c.cast("long") for c in rank or []), F.col("ord").cast("long"))
-    links = edges.select(F.col(at).alias("at"), F.col(to).alias("to"), F.col("kind").alias("k"), F.col("note").alias("t"), score().alias("s"), F.col("source").alias("f"), step.alias("step"))
+    parts = [edges] if isinstance(edges, DataFrame) else list(edges)
+    links = [e.select(F.col(at).alias("at"), F.col(to).alias("to"), F.col("kind").alias("k"), F.col("note").alias("t"), score().alias("s"), F.col("source").alias("f"), step.alias("step")) for e in parts]
     frontier = written(start)
     seen = (seen if seen is not None else frontier).select("key", F.col("id").alias("to"))
     found: DataFrame | None = None
     for level in range(1, depth + 1):
-        near = frontier.select("key", F.col("id").alias("at"), "score", "source", "ord").join(links, "at")
+        ahead = frontier.select("key", F.col("id").alias("at"), "score", "source", "ord")
+        near = reduce(DataFrame.unionByName, (ahead.join(part, "at") for part in links))
         if allow:
             near = near.where(allow(level - 1))
         near = near.select(
@@ -77,28 +80,33 @@ def expand(graph: Graph, targets: DataFrame) -> DataFrame:
     return targets.select("id", F.lit(-1).cast("long").alias("ord")).unionByName(members(graph, targets).select("id", "ord")).groupBy("id").agg(F.min("ord").alias("ord"))
 
 
-def upstream(edges: DataFrame) -> DataFrame:
-    """The edges that an impact runs along."""
-    return edges.where("kind <> 'TypeUse'")
+def upstream(graph: Graph) -> list[DataFrame]:
+    """The edges that an impact runs along, to be walked backward."""
+    return [e.where("kind <> 'TypeUse'") for e in graph.entering()]
+
+
+def flow(graph: Graph) -> list[DataFrame]:
+    """The edges of control flow, to be walked forward."""
+    return [e.where(is_flow()) for e in graph.leaving()]
 
 
 def blast_radius(graph: Graph, target: int, depth: int = 3) -> DataFrame:
     """Who would feel a change of `target`: reverse reach of it and its members, with the target itself discoverable."""
     start = seeds(expand(graph, one(graph, target)), order=F.col("ord"))
-    return walk(upstream(graph.edges), start, depth, backward=True, seen=start.where(F.col("id") != target))
+    return walk(upstream(graph), start, depth, backward=True, seen=start.where(F.col("id") != target))
 
 
 def reverse_reach(graph: Graph, target: int, depth: int = 3) -> DataFrame:
     """As the blast radius, with the target counted as seen from the start."""
     start = seeds(expand(graph, one(graph, target)), order=F.col("ord"))
-    return walk(upstream(graph.edges), start, depth, backward=True)
+    return walk(upstream(graph), start, depth, backward=True)
 
 
 def reverse_reach_each(graph: Graph, targets: DataFrame, depth: int = 3) -> DataFrame:
     """For each of many targets (id), its own reverse reach; key is the target."""
     nodes = graph.nodes.join(targets.select("id"), "id", "left_semi")
     start = seeds(nodes, key=F.col("id")).unionByName(seeds(members(graph, nodes), key=F.col("target"), order=F.col("ord")))
-    return walk(upstream(graph.edges), start, depth, backward=True)
+    return walk(upstream(graph), start, depth, backward=True)
 
 
 def declaring_types(graph: Graph) -> DataFrame:
@@ -133,7 +141,7 @@ def direct_callers(graph: Graph, target: int) -> DataFrame:
     """(id): who uses a type or its members from outside of it, once for each key."""
     own = one(graph, target)
     inside = own.select("id").unionByName(members(graph, own, OWNERS).select("id"))
-    callers = upstream(graph.edges).join(inside.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.min("ord").alias("ord"))
+    callers = graph.edges.where("kind <> 'TypeUse'").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.min("ord").alias("ord"))
     name = own.select(F.col("name").alias("outer"))
     held = declaring_types(graph)
     nodes = graph.nodes.select("id", "key", "name", "tags").join(held, "id", "left")
@@ -157,11 +165,11 @@ def trace(graph: Graph, start: int, depth: int = 6) -> DataFrame:
 
     Children stand in the order of bound, score, construction last. A type constructed below the first level is left out."""
     nodes = graph.nodes.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind"))
-    flow = graph.edges.where(is_flow()).join(nodes, "dst")
-    flow = flow.withColumn("kind", F.when((F.col("kind") == "Construct") & (F.col("dst_kind") == "type"), "Construct type").otherwise(F.col("kind"))).drop("dst_kind")
-    flow = written(flow)
+    way = graph.edges.where(is_flow()).join(nodes, "dst")
+    way = way.withColumn("kind", F.when((F.col("kind") == "Construct") & (F.col("dst_kind") == "type"), "Construct type").otherwise(F.col("kind"))).drop("dst_kind")
+    way = written(way)
     rank = [F.when(F.col("note").eqNullSafe("di-bound"), 0).otherwise(1), F.round((1 - score()) * 1_000_000), F.when(F.col("kind").startswith("Construct"), 1).otherwise(0)]
-    out = walk(flow, seeds(one(graph, start)), depth, rank=rank, allow=lambda level: F.lit(True) if level <= 1 else F.col("k") != "Construct type")
+    out = walk(way, seeds(one(graph, start)), depth, rank=rank, allow=lambda level: F.lit(True) if level <= 1 else F.col("k") != "Construct type")
     return out.withColumn("kind", F.when(F.col("kind") == "Construct type", "Construct").otherwise(F.col("kind")))
 
 
@@ -182,7 +190,7 @@ def shortest_path(graph: Graph, start: int, goal: int, depth: int = 12) -> DataF
     meet = written(both.select(F.lit(0).alias("hop"), "id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("note"), F.lit(1.0).alias("score")))
     if not meet.isEmpty():
         return meet
-    found = walk(graph.edges.where(is_flow()), first, depth, rank=[F.round((1 - score()) * 1_000_000)], goals=end)
+    found = walk(flow(graph), first, depth, rank=[F.round((1 - score()) * 1_000_000)], goals=end)
     hit = found.join(end, "id", "left_semi").orderBy("level", "ord").limit(1)
     rows = found.unionByName(first)
     at = written(hit.select("id", "parent", "level", "kind", "note"))

@@ -40,3 +40,15 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """`df` as a table of the shared folder, hashed into buckets by `key` and sorted: a join on the key shuffles its other side only."""
+    spark = df.sparkSession
+    name = f"strandgraph_{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/strandgraph/{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        _made.add(folder)
+        atexit.register(_drop, spark, folder)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{folder}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)

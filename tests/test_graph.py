@@ -192,3 +192,14 @@ def test_answers(spark):
     assert rows[1]["stale"] and rows[1]["end_line"] == 9 and not rows[2]["stale"] and rows[2]["file"] is None and rows[2]["tags"] is None
     assert [tuple(r) for r in g.nodes.orderBy("id").select(present.place(), F.array_join(present.shown_tags(), " ")).collect()] == [("a.cs:3-9", "handler http:GET /x"), ("", "")]
     assert spark.range(1).select(present.remedy(F.lit("no-handler")), present.remedy(F.lit("?"))).first()[1] == "open the file to see"
+
+
+def test_hubs_stand_apart(spark, monkeypatch):
+    from strandgraph import graph as module
+
+    monkeypatch.setattr(module, "LEAST_HUB", 5)
+    plain = graph(spark, [node(i) for i in range(40)], [call(i, 0) for i in range(1, 30)] + [call(i, i - 1) for i in range(2, 40)])
+    g = plain.stored(2)
+    assert len(g.by_dst) == 2 and len(g.by_src) == 1 and {r["dst"] for r in g.by_dst[1].select("dst").collect()} == {0}
+    rows = lambda x: sorted((r["id"], r["level"]) for r in walk.blast_radius(x, 0, 4).collect())
+    assert rows(g) == rows(plain) and len(rows(g)) == 32  # 29 next to the hub, and three along the chain
