@@ -260,7 +260,7 @@ def trace_depth(spark, sf):
 
 
 _PATH = (
-    f"WITH {S.GRAPH}, {S.expanded('a', START)}, {S.expanded('b', GOAL)}, " + S.walk("a", 4, _FLOW_E, "a", rank="CAST(round((1 - e.score) * 1000000) AS BIGINT)")
+    f"WITH {S.GRAPH}, {S.expanded('a', START)}, {S.expanded('b', GOAL)}, " + S.walk("a", 12, _FLOW_E, "a", rank="CAST(round((1 - e.score) * 1000000) AS BIGINT)")
     + ", allf AS (SELECT * FROM found_0 UNION ALL SELECT * FROM found), hit AS (SELECT id, level FROM allf WHERE id IN (SELECT id FROM b) ORDER BY level, ord LIMIT 1), "
     "p AS (WITH RECURSIVE r AS (SELECT f.id, f.level, f.parent, f.kind, f.note FROM allf f JOIN hit ON f.id = hit.id UNION ALL SELECT f.id, f.level, f.parent, f.kind, f.note FROM r JOIN allf f ON f.id = r.parent) SELECT * FROM r)"
 )
@@ -529,7 +529,7 @@ def silence(spark, sf):
     return explain.silence(P.index(spark, sf), TARGET)
 
 
-@_register(f"WITH {S.GRAPH}, {S.expanded('x', START)}, " + S.walk("x", 5, _FLOW_E, "x", rank="CAST(round((1 - e.score) * 1000000) AS BIGINT)") + f" SELECT id, CAST(level AS INTEGER) AS level FROM (SELECT id, level FROM found_0 UNION ALL SELECT id, level FROM found) WHERE id NOT IN (SELECT src FROM edges WHERE {S.FLOW})")
+@_register(f"WITH {S.GRAPH}, {S.expanded('x', START)}, " + S.walk("x", 12, _FLOW_E, "x", rank="CAST(round((1 - e.score) * 1000000) AS BIGINT)") + f" SELECT id, CAST(level AS INTEGER) AS level FROM (SELECT id, level FROM found_0 UNION ALL SELECT id, level FROM found) WHERE id NOT IN (SELECT src FROM edges WHERE {S.FLOW})")
 def silence_dead_ends(spark, sf):
     return explain.dead_ends(P.index(spark, sf), START)
 
@@ -715,12 +715,12 @@ def changes_lost(spark, sf):
     return compare.lost_wiring(_found(spark, sf))
 
 
-_DEAD = f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS}, {S.expanded('x', START)}, " + S.walk("x", 5, _FLOW_E, "x", rank="CAST(round((1 - e.score) * 1000000) AS BIGINT)")
+_DEAD = f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS}, {S.expanded('x', START)}, " + S.walk("x", 12, _FLOW_E, "x", rank="CAST(round((1 - e.score) * 1000000) AS BIGINT)")
 
 
 @_register(f"{_DEAD}, d AS (SELECT DISTINCT id FROM (SELECT id FROM found_0 UNION ALL SELECT id FROM found) WHERE id NOT IN (SELECT src FROM edges WHERE {S.FLOW})) SELECT 'dead-end' AS answer, d.id, CAST(coalesce(w.n, 0) AS BIGINT) AS n FROM d LEFT JOIN (SELECT id, count(*) AS n FROM rs GROUP BY id) w ON w.id = d.id ORDER BY n DESC, d.id LIMIT 5")
 def silence_between(spark, sf):
-    return explain.silence_between(P.index(spark, sf), START, P.REGION)
+    return explain.silence_between(P.index(spark, sf), START, PARTNER)
 
 
 @_register(f"WITH {S.LOG} SELECT ts, cmd, caller, exit FROM log ORDER BY ts DESC, session, cmd LIMIT 10")
