@@ -30,7 +30,7 @@ from .common import mix, powers, prefix_hash, span_hash, text_blocks, written
 CROWDED = 256
 #: Offsets a range is split into per round.
 FAN = 7
-_ROWS = 4096
+_ROWS = 2048
 _SECOND = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, np.uint64)
 
 
@@ -267,7 +267,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, core:
     """(id, tk, spans): for each row of `docs` that has any, the [start, end) byte ranges of repeated windows, which may overlap."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in text_blocks(batches, "text"):
+        for rows, data, at in text_blocks(batches, "text", 1 << 20):
             found = anchors(data, at, length, core)
             row = pa.array(found["row"])
             numbers = [pa.array(found[k].view(np.int64) if k in "hc" else found[k].astype(np.int32)) for k in ("h", "c", "pos", "left", "right")]
@@ -283,15 +283,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, core:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            out = []
-            for z, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = unpack(z)
-                out += [(w["h"], w["c"], w["n"], w["d"], w["left"], raw[w["pos"] - w["left"] : w["pos"] + w["right"]]) for w in wanted]
-                if len(out) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names)
+            for k in range(0, b.num_rows, 256):
+                part, out = b.slice(k, 256), []
+                for z, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    raw = unpack(z)
+                    out += [(w["h"], w["c"], w["n"], w["d"], w["left"], raw[w["pos"] - w["left"] : w["pos"] + w["right"]]) for w in wanted]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names)
 
     kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["h", "c", "n", "d", "lead", "context"]
     fields = ("h", "c", "n", "d", "pos", "left", "right")
