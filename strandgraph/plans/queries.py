@@ -14,7 +14,7 @@ from . import projection as P
 from . import sql as S
 
 #: Places that the queries ask about.
-TARGET, START, GOAL, PARTNER = 2_000_000_007, 2_000_000_003, 2_000_000_011, 6_000_000_001
+TARGET, START, GOAL, PARTNER = 2_000_000_015, 2_000_000_003, 2_000_000_011, 6_000_000_001
 SPLIT = "1998-05-24"
 QUESTIONS = ("NATION_7", "AFRICA.NATION_5", "Customer#000000012", "nation_1.customer#000000001", "Supplier#00000000", "ring.P10", "nothing here")
 MISSPELT = ("NATION_3.Suplier#000000003", "Customr#000000012", "O1234", "Part_P77", "small.ring.P7")
@@ -524,7 +524,7 @@ def silence_reasons(spark, sf):
     return explain.reasons(g, g.nodes.where("id BETWEEN 1000000000 AND 2999999999 OR id = 4000000012"))
 
 
-@_register(f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS} SELECT (SELECT count(*) FROM edges WHERE src = {TARGET} AND {S.FLOW}) AS outgoing, (SELECT count(*) FROM edges WHERE dst = {TARGET} AND kind <> 'TypeUse') AS incoming, CAST((SELECT sum(n) FROM rs WHERE id = {TARGET}) AS BIGINT) AS reasons")
+@_register(f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS} SELECT (SELECT count(*) FROM edges WHERE src = {TARGET} AND {S.FLOW}) AS outgoing, (SELECT count(*) FROM edges WHERE dst = {TARGET} AND kind <> 'TypeUse') AS incoming, CAST(coalesce((SELECT sum(n) FROM rs WHERE id = {TARGET}), 0) AS BIGINT) AS reasons")
 def silence(spark, sf):
     return explain.silence(P.index(spark, sf), TARGET)
 
