@@ -524,6 +524,13 @@ def silence_reasons(spark, sf):
     return explain.reasons(g, g.nodes.where("id BETWEEN 1000000000 AND 2999999999 OR id = 4000000012"))
 
 
+@_register(f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS} SELECT id, kind, reason, n FROM rs")
+def silence_reasons_all(spark, sf):
+    """The same of every node."""
+    g = P.index(spark, sf)
+    return explain.reasons(g, g.nodes)
+
+
 @_register(f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS} SELECT (SELECT count(*) FROM edges WHERE src = {TARGET} AND {S.FLOW}) AS outgoing, (SELECT count(*) FROM edges WHERE dst = {TARGET} AND kind <> 'TypeUse') AS incoming, CAST(coalesce((SELECT sum(n) FROM rs WHERE id = {TARGET}), 0) AS BIGINT) AS reasons")
 def silence(spark, sf):
     return explain.silence(P.index(spark, sf), TARGET)
