@@ -5,7 +5,8 @@ smallest hash is the window's anchor. Equal windows have the same anchor at the
 (about one in 150 positions) are held against each other, and only those whose core occurs again. The
 windows of an anchor stand next to each other; the bytes they span are the anchor's context.
 
-1. Anchors are counted by core hash and by context hash. Contexts that occur twice are repeated as they are.
+1. Anchors are counted by core hash and by a 128-bit cryptographic digest of the context and the anchor's place in it.
+   Contexts of one digest are the same bytes, and those that occur twice are repeated as they are.
 2. The different contexts of a core are sorted as suffixes from the anchor on, and as reversed prefixes before it, by a
    bottom-up mergesort. Two are compared by their common extension, which a binary search over prefix polynomial hashes
    finds in logarithmic time. Walks from a suffix to its neighbours in that order give the partners that
@@ -24,21 +25,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, prefix_hash, span_hash, text_blocks, written
+from .common import mix, prefix_hash, span_hash, text_blocks, written
 
 #: Most contexts that are sorted together; which way a group takes doesn't change the result.
 CROWDED = 256
 #: Offsets a range is split into per round.
 FAN = 7
 _ROWS = 2048
-_SECOND = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, np.uint64)
 
 
-def _second_prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a hash that is independent of prefix_hash: bytes stand for random digits."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_SECOND[data] * powers(len(data) + 1)[0][:-1], out=out[1:])
-    return out
+def digest(context: bytes, place: int, low: int = 0) -> bytes:
+    """128 bits that stand for a context, the anchor's place in it and, for a range of offsets, the least of them."""
+    return hashlib.blake2b(context, digest_size=16, salt=place.to_bytes(8, "little") + low.to_bytes(8, "little")).digest()
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -52,14 +50,14 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, core: int) -> dict[str, np.ndarray]:
-    """Of each anchor: its row, position in the row, bytes of context before (`left`) and from it on (`right`), and the hashes of core (h) and context (c)."""
-    names = ("row", "pos", "left", "right", "h", "c")
+    """Of each anchor: its row, position in the row, bytes of context before (`left`) and from it on (`right`), and the hash of its core (h)."""
+    names = ("row", "pos", "left", "right", "h")
     if len(data) < length:
         return {k: np.zeros(0, np.int64) for k in names}
     p = prefix_hash(data)
     start = np.arange(len(data) - core + 1)
     h = mix(span_hash(p, start, start + core))
-    low = np.uint64((1 << 30) - 1)
+    low = np.uint64((1 << 31) - 1)  # no text has more bytes
     least = _sliding_min((h & ~low) | start.astype(np.uint64), length - core + 1)  # of each window, by its start
     size = np.diff(at)
     whole = np.zeros(len(least) + 1, np.int8)  # windows that don't cross rows
@@ -72,8 +70,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, core: int) -> dict[st
     last = np.append(first[1:], len(spot)) - 1
     spot, begin, end = spot[first], windows[first], windows[last] + length
     row = np.searchsorted(at, spot, "right") - 1
-    c = span_hash(_second_prefix(data), begin, end) + (spot - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return {"row": row, "pos": spot - at[row], "left": spot - begin, "right": end - spot, "h": h[spot], "c": mix(c)}
+    return {"row": row, "pos": spot - at[row], "left": spot - begin, "right": end - spot, "h": h[spot]}
 
 
 class Suffixes:
@@ -181,11 +178,12 @@ def _sorted_matches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
     held: list[pa.RecordBatch] = []
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        cols = {c: table.column(c).to_numpy() for c in ("key", "cls", "n", "lead")}
+        cols = {c: table.column(c).to_numpy() for c in ("key", "n", "lead")}
         s = Suffixes(table.column("context").to_pylist(), cols["lead"], cols["key"])
         out = [(i, lo, hi) for i, lo, hi in s.matches(length) if cols["n"][i] < 2]
         i, lo, hi = (np.array(x, np.int64) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 3
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (cols["key"][i], cols["cls"][i], lo, hi)], ["key", "cls", "low", "high"])
+        cls = table.column("cls").combine_chunks().take(pa.array(i)).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(cols["key"][i]), cls, pa.array(lo), pa.array(hi)], ["key", "cls", "low", "high"])
 
     for whole in batches:
         for k in range(0, whole.num_rows, _ROWS):
@@ -217,9 +215,8 @@ def _split(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                         x, y = max(0, anchor - b), min(len(context), anchor + length - a)
                         sub, core = context[x:y], context[anchor - a : anchor + length - b]
                         key = hashlib.blake2b(core + b"%d,%d" % (a, b), digest_size=8).digest()
-                        cls = hashlib.blake2b(sub + b"%d,%d" % (anchor - a - x, a), digest_size=8).digest()
-                        rows.append((h, c, a, b, anchor - a - x, sub, int.from_bytes(key, "little", signed=True), int.from_bytes(cls, "little", signed=True)))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+                        rows.append((h, c, a, b, anchor - a - x, sub, int.from_bytes(key, "little", signed=True), digest(sub, anchor - a - x, a)))
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
 
 
@@ -232,14 +229,14 @@ def _sizes(rows: DataFrame) -> DataFrame:
 
 def _matched(distinct: DataFrame, length: int) -> DataFrame:
     dealt = distinct.select("key", "cls", "n", "lead", "context").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda b: _sorted_matches(b, length), "key long, cls long, low long, high long")
+    return dealt.mapInArrow(lambda b: _sorted_matches(b, length), "key long, cls binary, low long, high long")
 
 
 def _crowded(rows: DataFrame, length: int) -> DataFrame:
     """(h, c, low, high) for contexts of crowded cores: offsets of the original anchor in repeated windows."""
     found = []
     while True:
-        rows = written(rows.select("h", "c", "low", "high", "lead", "context").mapInArrow(lambda b: _split(b, length), "h long, c long, low int, high int, lead int, context binary, key long, cls long"))
+        rows = written(rows.select("h", "c", "low", "high", "lead", "context").mapInArrow(lambda b: _split(b, length), "h long, c binary, low int, high int, lead int, context binary, key long, cls binary"))
         sizes = written(_sizes(rows))
         ends = rows.select("key", "cls", "h", "c", "low", F.greatest(F.col("low"), F.lit(length) - F.octet_length("context") + F.col("lead") + F.col("low")).alias("a"), F.least(F.col("high"), F.col("lead") + F.col("low")).alias("b"))
         found.append(ends.join(sizes.where("n > 1").select("key", "cls"), ["key", "cls"]).select("h", "c", F.col("a").cast("long").alias("low"), F.col("b").cast("long").alias("high")))
@@ -257,25 +254,46 @@ def _crowded(rows: DataFrame, length: int) -> DataFrame:
     return written(out)
 
 
-def _identified(docs: DataFrame, text: str) -> DataFrame:
-    """(id, tk, text): rows of one doc_id (null is an id too) and different texts differ in tk."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("id"), F.hash(body).alias("tk"), body.alias("text"))
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """(rid, doc_id, z): every row of `docs` under a number of its own, with its text compressed, as a table."""
+
+    @F.arrow_udf("binary")
+    def pack(texts: pa.Array) -> pa.Array:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return pa.array([squeeze(t.as_buffer()) for t in texts.cast(pa.large_binary())], pa.binary())
+
+    # The numbers are read from the table ever after, so that they stay the same when a task runs again.
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), pack(F.coalesce(F.col(text), F.lit(""))).alias("z")))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(rid, text) of (rid, z) rows, in batches of about `most` bytes."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    rids, texts, size = [], [], 0
+    for b in batches:
+        for rid, z in zip(b.column(0).to_pylist(), b.column(1)):
+            rids.append(rid), texts.append(unpack(z.as_buffer()))
+            size += len(texts[-1])
+            if size >= most:
+                yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(texts, pa.large_binary())], ["rid", "text"])
+                rids, texts, size = [], [], 0
+    if rids:
+        yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(texts, pa.large_binary())], ["rid", "text"])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, core: int = 64) -> DataFrame:
-    """(id, tk, spans): for each row of `docs` that has any, the [start, end) byte ranges of repeated windows, which may overlap."""
+def repeated_spans(rows: DataFrame, length: int = 400, core: int = 64) -> DataFrame:
+    """(rid, spans): for each of the `packed` rows that has any, the [start, end) byte ranges of repeated windows, which may overlap."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in text_blocks(batches, "text", 1 << 20):
-            found = anchors(data, at, length, core)
-            row = pa.array(found["row"])
-            numbers = [pa.array(found[k].view(np.int64) if k in "hc" else found[k].astype(np.int32)) for k in ("h", "c", "pos", "left", "right")]
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(row), rows.column(1).take(row), *numbers], ["id", "tk", "h", "c", "pos", "left", "right"])
-
-    source = _identified(docs, text)
-    spots = written(source.where(F.octet_length("text") >= length).mapInArrow(find, "id long, tk int, h long, c long, pos int, left int, right int"))
-    per_context = spots.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), *(F.first(k).alias(k) for k in ("id", "tk", "pos", "left", "right")))
+        for part, data, at in text_blocks(_unpacked(batches), "text", 1 << 20):
+            found, raw = anchors(data, at, length, core), data.tobytes()
+            spot = at[found["row"]] + found["pos"]
+            c = [digest(raw[a - x : a + y], x) for a, x, y in zip(spot.tolist(), found["left"].tolist(), found["right"].tolist())]
+            numbers = [pa.array(found[k].astype(np.int32)) for k in ("pos", "left", "right")]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found["row"])), pa.array(found["h"].view(np.int64)), pa.array(c, pa.binary()), *numbers], ["rid", "h", "c", "pos", "left", "right"])
+
+    spots = written(rows.select("rid", "z").mapInArrow(find, "rid long, h long, c binary, pos int, left int, right int"))
+    per_context = spots.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), *(F.first(k).alias(k) for k in ("rid", "pos", "left", "right")))
     per_core = per_context.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("all")).where("all > 1").drop("all")
     known = written(per_context.join(per_core, "h"))
     as_they_are = known.where("n > 1").select("h", "c", (F.lit(length) - F.col("right")).cast("long").alias("low"), F.col("left").cast("long").alias("high"))
@@ -291,10 +309,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, core:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names)
 
-    kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["h", "c", "n", "d", "lead", "context"]
+    kinds, names = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["h", "c", "n", "d", "lead", "context"]
     fields = ("h", "c", "n", "d", "pos", "left", "right")
-    wanted = known.where("d > 1").groupBy("id", "tk").agg(F.collect_list(F.struct(*fields)).alias("wanted"))  # of a document's own anchors
-    contexts = written(packed(source).dropDuplicates(["id", "tk"]).join(wanted, ["id", "tk"]).select("z", "wanted").mapInArrow(cut, "h long, c long, n long, d long, lead int, context binary"))
+    wanted = known.where("d > 1").groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("wanted"))  # of a document's own anchors
+    contexts = written(rows.join(wanted, "rid").select("z", "wanted").mapInArrow(cut, "h long, c binary, n long, d long, lead int, context binary"))
     few = contexts.where(F.col("d") <= CROWDED).select(F.col("h").alias("key"), F.col("c").alias("cls"), "n", "lead", "context")
     sorted_out = _matched(few, length).select(F.col("key").alias("h"), F.col("cls").alias("c"), "low", "high")
     covered = as_they_are.unionByName(sorted_out)
@@ -303,19 +321,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, core:
         start = many.select("h", "c", F.lit(0).alias("low"), F.lit(length - core).alias("high"), "lead", "context")
         covered = covered.unionByName(_crowded(start, length))
     covered = written(covered)
-    met = spots.select("h", "c", "id", "tk", "pos").join(covered, ["h", "c"])
-    return met.groupBy("id", "tk").agg(F.collect_set(F.struct((F.col("pos") - F.col("high")).cast("int").alias("start"), (F.col("pos") - F.col("low") + length).cast("int").alias("end"))).alias("spans"))
-
-
-def packed(source: DataFrame) -> DataFrame:
-    """(id, tk, z): the texts compressed, for a smaller shuffle."""
-
-    @F.arrow_udf("binary")
-    def pack(texts: pa.Array) -> pa.Array:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        return pa.array([squeeze(t.as_buffer()) for t in texts.cast(pa.large_binary())], pa.binary())
-
-    return source.select("id", "tk", pack("text").alias("z"))
+    met = spots.select("h", "c", "rid", "pos").join(covered, ["h", "c"])
+    return met.groupBy("rid").agg(F.collect_set(F.struct((F.col("pos") - F.col("high")).cast("int").alias("start"), (F.col("pos") - F.col("low") + length).cast("int").alias("end"))).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -333,7 +340,7 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 400, core: int = 64
     """(doc_id, n_bytes, spans, kept binary) per row of `docs`: the maximal runs of bytes [start, end) covered by a string of `length` bytes that starts at two places or more of the corpus, and the other bytes joined.
 
     Matches don't cross rows; strings are judged on the input, so of two copies both lose the bytes. A null text is
-    empty. Rows with a null doc_id and repeated rows are documents like any other, and a repeated row is a copy.
+    empty. Rows with a null doc_id, rows that share one and repeated rows are documents like any other, each judged by itself; a repeated row is a copy.
     Columns besides doc_id and the text are not read. An empty table gives an empty result."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +358,6 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 400, core: int = 64
                 kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(zip(*out), kinds))], ["doc_id", "n_bytes", "spans", "kept"])
 
-    source = _identified(docs, text)
-    spans = repeated_spans(docs, text, length, core)
-    rows = packed(source).join(spans, ["id", "tk"], "left").select(F.when(F.col("id") != -(1 << 62), F.col("id")).alias("doc_id"), "z", "spans")
+    source = packed(docs, text)
+    rows = source.join(repeated_spans(source, length, core), "rid", "left").select("doc_id", "z", "spans")
     return rows.mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

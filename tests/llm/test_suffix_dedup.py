@@ -48,6 +48,14 @@ def test_against_brute_force(spark, monkeypatch, crowded):
     assert run(spark, rows, length=40, core=8) == brute(rows, 40)
 
 
+def test_rows_without_an_id_and_rows_that_share_one(spark):
+    r = random.Random(4)
+    text = lambda: "".join(r.choice("abcdefgh ") for _ in range(120))
+    base = text()
+    rows = [(None, base), (None, text()), (None, text() + base[:60]), (5, text()), (5, base[20:] + text()), (5, text()), (5, text()), (None, None), (6, "é" * 50), (7, "é" * 50)]
+    assert run(spark, rows, length=40, core=8) == brute(rows, 40)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
