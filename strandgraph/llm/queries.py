@@ -83,7 +83,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_lines(_table(spark, sf_dir, "documents")).select("doc_id", "line_no", "keep_doc_id", "keep_line_no", "edits")
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +167,9 @@ ends AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) AS upto, rol
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(upto) FILTER (WHERE target)::BIGINT AS formatted_chars, count(*) FILTER (WHERE target) AS n_examples FROM ends GROUP BY conv_id""",
     "op8_lines": """
-WITH parts AS MATERIALIZED (SELECT DISTINCT doc_id, CAST(n - 1 AS INTEGER) AS line_no, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id IS NOT NULL) WHERE length(l) >= 20),
+WITH parts AS MATERIALIZED (SELECT DISTINCT doc_id, CAST(n - 1 AS INTEGER) AS line_no, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id IS NOT NULL) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
 firsts AS MATERIALIZED (SELECT l, length(l) AS n, doc_id AS d, line_no AS p FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY doc_id, line_no) AS rn FROM parts) WHERE rn = 1),
-halves AS (SELECT l, n, d, p, h, left(l, h) AS half, 0 AS side FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM firsts) UNION ALL SELECT l, n, d, p, h, right(l, h), 1 FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM firsts)),
+halves AS (SELECT l, n, d, p, h, left(l, h) AS half, 0 AS side FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM firsts WHERE n >= 20) UNION ALL SELECT l, n, d, p, h, right(l, h), 1 FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM firsts WHERE n >= 20)),
 pairs AS MATERIALIZED (SELECT DISTINCT a.l AS x, b.l AS y, a.n AS xn, b.n AS yn, b.d, b.p FROM halves a JOIN halves b ON a.side = b.side AND a.h = b.h AND a.half = b.half WHERE a.l <> b.l AND abs(a.n - b.n) <= 1 AND (b.d < a.d OR b.d = a.d AND b.p < a.p)),
 near AS (SELECT x, d, p FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY d, p) AS rn FROM pairs WHERE CASE WHEN xn = yn THEN len(list_filter(range(1, xn + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) <= 1
   WHEN xn < yn THEN len(list_filter(range(0, yn), lambda i: left(y, i) || substr(y, i + 2) = x)) > 0 ELSE len(list_filter(range(0, xn), lambda i: left(x, i) || substr(x, i + 2) = y)) > 0 END) WHERE rn = 1)

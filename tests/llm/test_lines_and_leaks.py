@@ -1,5 +1,10 @@
 import random
 import re
+import time
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from strandgraph.llm import decontam, line_dedup
 
@@ -12,20 +17,31 @@ def near(a, b):
     return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
 
 
+def text_key(t):
+    return xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63)
+
+
 def brute(rows, least):
-    seen = sorted({(i, n, x) for i, t in rows if i is not None and t is not None for n, x in enumerate(t.split("\n")) if len(x) >= least})
+    """(doc_id, text_key, line_no, keep_doc_id, keep_line_no, edits) of each line that goes."""
+    seen = sorted({((i is None, i or 0, text_key(t), n), x) for i, t in rows if t is not None for n, x in enumerate(t.split("\n")) if x.strip(" \t\n\v\f\r")})
     first = {}
-    for i, n, x in seen:
-        first.setdefault(x, (i, n))
+    for at, x in seen:
+        first.setdefault(x, at)
     out = set()
-    for i, n, x in seen:
-        before = [p for y, p in first.items() if y != x and near(x, y) and p < first[x]]
+    for at, x in seen:
+        before = [p for y, p in first.items() if y != x and min(len(x), len(y)) >= least and near(x, y) and p < first[x]]
         keep = min(before) if before else first[x]
-        if (i, n) > keep:
-            out.add((i, n, *keep, int(bool(before))))
+        if at > keep:
+            out.add((None if at[0] else at[1], at[2], at[3], None if keep[0] else keep[1], keep[3], int(bool(before))))
     return out
 
 
+def left_over(rows, gone):
+    """The rows without the lines that go, as (doc_id, text)."""
+    drop = {x[:3] for x in gone}
+    return [(i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, text_key(t), n) not in drop)) for i, t in rows]
+
+
 def test_lines_against_brute_force(spark):
     r = random.Random(8)
     base = ["".join(r.choice("ab é") for _ in range(r.randint(18, 40))) for _ in range(12)]
@@ -43,17 +59,37 @@ def test_lines_against_brute_force(spark):
     got = {tuple(x) for x in gone.collect()}
     assert got == brute(rows, 20) and any(x[4] for x in got)
     left = line_dedup.without_lines(df, gone).collect()
-    drop = {(i, n) for i, n, *_ in got}
-    want = sorted(str((i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in drop))) for i, t in rows)
-    assert sorted(str((x["doc_id"], x["text"])) for x in left) == want
+    assert sorted(str((x["doc_id"], x["text"])) for x in left) == sorted(map(str, left_over(rows, got)))
 
 
 def test_repeated_rows_and_none(spark):
     df = spark.createDataFrame([(1, "a line that is long enough"), (1, "a line that is long enough"), (2, "a line that is long enough")], "doc_id long, text string")
-    assert {tuple(r) for r in line_dedup.repeated_lines(df).collect()} == {(2, 0, 1, 0, 0)}
+    assert [r[0] for r in line_dedup.repeated_lines(df).collect()] == [2]
     assert line_dedup.repeated_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_rows_that_share_an_id_or_have_none(spark, parts):
+    rows = [(1, "the first of the two texts\nwith a line more"), (1, "another text of the same id\nwhich has its own"), (None, "the first of the two textz\nok"), (None, "another text of the same jd\nok")]
+    rows += [(2, "the first of the two text\nsomething else"), (3, "another text of the same i\nwhich has its own"), (3, "ok\n \n "), (4, "ok")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, F.rand(parts))
+    gone = line_dedup.repeated_lines(df)
+    got = {tuple(x) for x in gone.collect()}
+    assert got == brute(rows, 20) and len(got) == 8
+    left = line_dedup.without_lines(df, gone).collect()
+    assert sorted(str((x["doc_id"], x["text"])) for x in left) == sorted(map(str, left_over(rows, got)))
+
+
+def test_many_lines_take_linear_time(spark):
+    text = "\n".join(f"line {k % 150_000} of a text with very many of them" for k in range(300_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    gone = spark.range(150_000, 300_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text_key(text)).alias("text_key"), F.col("id").cast("int").alias("line_no"))
+    began = time.perf_counter()
+    left = line_dedup.without_lines(df, gone).first()
+    assert left["n_lines_removed"] == 150_000 and left["text"] == "\n".join(text.split("\n")[:150_000])
+    assert time.perf_counter() - began < 30
+
+
 def leaks(rows, items, window=13):
     tok = lambda s: re.findall("[a-z0-9\u0080-\U0010ffff]+", (s or "").lower())
     out = set()

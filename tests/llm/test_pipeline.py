@@ -5,7 +5,7 @@ import random
 import corpus_pipeline as cp
 from strandgraph.llm import quality
 from tests.llm.test_lines_and_leaks import brute as line_brute
-from tests.llm.test_lines_and_leaks import leaks
+from tests.llm.test_lines_and_leaks import leaks, left_over
 from tests.llm.test_simhash import brute as fingerprints
 from tests.llm.test_simhash import groups
 
@@ -57,12 +57,8 @@ def test_stages(spark, tmp_path):
 
     score = {i: model.score(np.array([quality.statistics((t or "").encode())]))[0] for i, t in raw.items()}
     assert good == {i: t for i, t in raw.items() if score[i] >= 0.3} and 150 < len(good) < 200
-    gone = {(i, n) for i, n, *_ in line_brute(list(good.items()), 20)}
-    want = {}
-    for i, t in good.items():
-        left = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
-        if left == t or left.strip():
-            want[i] = left
+    rows = list(good.items())
+    want = {i: left for (i, t), (_, left) in zip(rows, left_over(rows, line_brute(rows, 20))) if left == t or left.strip()}
     assert lines == want and len(lines) < len(good)
     ids = sorted(lines)
     top = groups(ids, fingerprints([lines[i] for i in ids]))
