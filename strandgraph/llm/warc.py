@@ -12,7 +12,9 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,14 @@ RECORD = (
 )
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
 _KINDS = [*[pa.string()] * 6, pa.binary(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
-#: Comments, elements without readable text, and tags; what breaks a line is named.
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)[^>]*>|<[!?][^>]*>", re.S | re.I)
+#: Elements without readable text, and what breaks a line.
+_MUTE = frozenset("script style template noscript iframe svg".split())
 _BREAKS = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
+_NAME = re.compile(r"[a-zA-Z][\w:-]*")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in _MUTE}
+_TITLE_END = re.compile(r"</title", re.I)
+_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([\w-]+)""", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -40,11 +44,62 @@ def record_id(*parts: str | bytes) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(raw).digest()[:16], version=5)}>"
 
 
-def plain_text(page: str) -> str:
-    """The readable text of a page: no comments, scripts or styles, a line for each block, single spaces."""
-    text = _MARKUP.sub(lambda m: "\n" if m[3] and m[3].lower() in _BREAKS else " " if m[1] else "", page)
-    lines = (" ".join(x.split()) for x in entities.unescape(text).split("\n"))
-    return "\n".join(x for x in lines if x)
+def markup(page: str) -> Iterator[tuple[str, int, int, int]]:
+    """(name, start, end, end of the tag) of each piece of markup in order: names of tags in lower case, those that close with a slash before; "!" for comments and declarations.
+
+    An element without readable text is one piece up to where it closes, or to the end of the page. What a `<` opens and no `>`
+    closes is text. Every search starts where the last one ended, or is the last, so any page takes linear time."""
+    at = page.find("<")
+    while at >= 0:
+        after = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            end = len(page) if stop < 0 else stop + 3
+            yield "!", at, end, end
+        elif after in ("!", "?") and after:
+            stop = page.find(">", at)
+            if stop < 0:
+                return
+            end = stop + 1
+            yield "!", at, end, end
+        else:
+            slash = after == "/"
+            name = _NAME.match(page, at + 1 + slash)
+            if not name:
+                at = page.find("<", at + 1)
+                continue
+            stop = page.find(">", name.end())
+            if stop < 0:
+                return
+            kind, tag, end = name[0].lower(), stop + 1, stop + 1
+            if kind in _MUTE and not slash:
+                close = _CLOSE[kind].search(page, tag)
+                end = close.end() if close else len(page)
+            yield "/" * slash + kind, at, end, tag
+        at = page.find("<", end)
+
+
+def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
+    """(text, title, language, links): the readable text without comments, scripts or styles, a line for each block, single spaces; the rest as written."""
+    pieces, links, title, lang, at, titled = [], [], None, None, 0, False
+    for name, start, end, tag in markup(page):
+        pieces.append(page[at:start])
+        at = end
+        if name in _MUTE:
+            pieces.append(" ")
+        elif name.removeprefix("/") in _BREAKS:
+            pieces.append("\n")
+        if name == "a" and (m := _HREF.search(page, start, tag)):
+            links.append(m[1] or m[2] or m[3] or "")
+        elif name == "html" and lang is None and (m := _LANG.search(page, start, tag)):
+            lang = m[1]
+        elif name == "title" and not titled:
+            titled = True
+            if m := _TITLE_END.search(page, end):
+                title = page[end : m.start()]
+    text = entities.unescape("".join([*pieces, page[at:]]))
+    lines = (" ".join(x.split()) for x in text.split("\n"))
+    return "\n".join(x for x in lines if x), title, lang, links
 
 
 def response(page_id: int | None, url: str, page: str, date: str) -> tuple:
@@ -81,11 +136,12 @@ def derive(rid: str, url: str | None, date: str, block: bytes, payload_digest: s
     one = lambda x: " ".join(entities.unescape(x).split())
     notes = [("source-status", status), *((f"source-{k}", v) for k, v in fields.items()), ("source-payload-digest", payload_digest)]
     if is_page:
-        text = plain_text(page).encode()
+        plain, title, lang, links = read_page(page)
+        text = plain.encode()
         conversion = record_id("conversion", rid)
-        notes += [("title", one(m[1]))] if (m := _TITLE.search(page)) else []
-        notes += [("html-lang", m[1])] if (m := _LANG.search(page)) else []
-        notes += [("outlink", one(m[1] or m[2] or m[3] or "")) for m in _LINK.finditer(page)]
+        notes += [] if title is None else [("title", one(title))]
+        notes += [] if lang is None else [("html-lang", lang)]
+        notes += [("outlink", one(x)) for x in links]
         notes += [("conversion-record-id", conversion), ("conversion-digest", digest(text))]
     body = "".join(f"{k}: {v}\r\n" for k, v in notes).encode()
     yield (record_id("metadata", rid), "metadata", url, date, "application/warc-fields", rid, body, digest(body), payload_digest, source)
@@ -98,6 +154,17 @@ def _batch(rows: list[tuple], extra: list | None = None, name: str = "") -> pa.R
     return pa.RecordBatch.from_arrays(([pa.array(extra, pa.int64())] if name else []) + columns, ([name] if name else []) + _NAMES)
 
 
+def _small(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most 256 rows and about `most` bytes in the column; a larger row comes alone."""
+    for b in batches:
+        size = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        k = 0
+        while k < b.num_rows:
+            stop = max(k + 1, min(k + 256, int(np.searchsorted(size, (size[k - 1] if k else 0) + most, "right"))))
+            yield b.slice(k, stop - k)
+            k = stop
+
+
 def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """(page_id, record columns): a response record for each row of (page_id, url, html).
 
@@ -105,11 +172,9 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
     keeps it; repeated rows give the same record again. Other columns are not read."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches, 2):
             ids, urls, pages_ = (c.to_pylist() for c in b.columns)
-            for k in range(0, len(ids), 256):
-                part = slice(k, k + 256)
-                yield _batch([response(i, u or "", p or "", date) for i, u, p in zip(ids[part], urls[part], pages_[part])], ids[part], "page_id")
+            yield _batch([response(i, u or "", p or "", date) for i, u, p in zip(ids, urls, pages_)], ids, "page_id")
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(scan, "page_id long, " + RECORD)
 
@@ -122,11 +187,9 @@ def derivatives(records: DataFrame) -> DataFrame:
     blocks or identifiers give nothing."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = list(zip(*(c.to_pylist() for c in b.columns)))
-            for k in range(0, len(rows), 256):
-                made = [(i, r) for i, *x in rows[k : k + 256] for r in derive(*x)]
-                yield _batch([r for _, r in made], [i for i, _ in made], "page_id")
+        for b in _small(batches, 4):
+            made = [(i, r) for i, *x in zip(*(c.to_pylist() for c in b.columns)) for r in derive(*x)]
+            yield _batch([r for _, r in made], [i for i, _ in made], "page_id")
 
     chosen = records.where("record_type = 'response' AND block IS NOT NULL AND record_id IS NOT NULL")
     return chosen.select("page_id", "record_id", "target_uri", "warc_date", "block", "payload_digest").mapInArrow(scan, "page_id long, " + RECORD)
@@ -166,7 +229,7 @@ def to_bytes(records: DataFrame) -> DataFrame:
     """(record_id, data): the serialised records, as a sink writes them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches, 6):
             rows = [(*r[:9], dict(r[9]) if r[9] else None) for r in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([serialise(r) for r in rows], pa.binary())], ["record_id", "data"])
 

@@ -1,8 +1,12 @@
 import base64
 import gzip
 import hashlib
+import time
 from html.parser import HTMLParser
 
+import pyarrow as pa
+import pytest
+
 from strandgraph.llm import queries, warc
 
 PAGES = [
@@ -70,7 +74,22 @@ def test_text_against_a_parser(spark):
         p.feed(page)
         p.close()
         want = "\n".join(x for x in (" ".join(y.split()) for y in "".join(p.out).split("\n")) if x)
-        assert warc.plain_text(page).split() == want.split()
+        assert warc.read_page(page)[0].split() == want.split()
+
+
+@pytest.mark.parametrize("bit", ["<a ", "<a href=", "<title>", "<!-- ", "<script>", "<", "</", "<html ", "<a>", "<svg></svg>", "<!", "</script", "<p title='", "&"])
+def test_unclosed_markup_takes_linear_time(bit):
+    page = "<p>x</p>" + bit * ((1 << 20) // len(bit))
+    began = time.perf_counter()
+    assert warc.read_page(page)[0].startswith("x")
+    assert time.perf_counter() - began < 5
+
+
+def test_small_batches():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([None, "x" * 50, "", *["y" * 10] * 597])], ["i", "t"])
+    parts = list(warc._small([batch], 1, 100))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(600)) and all(p.num_rows <= 12 for p in parts)
+    assert [p.num_rows for p in warc._small([batch], 1, 1)][:2] == [1, 1] and [p.num_rows for p in warc._small([batch], 1)] == [256, 256, 88]
 
 
 def test_other_records(spark):
