@@ -119,7 +119,22 @@ def test_leaks_against_brute_force(spark):
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
     want = leaks(rows, items)
-    for most in (1 << 20, 300):  # in one pass, and in several
+    found = []
+    for most in (1 << 20, 300):  # as an array, and as a table
         got = decontam.overlaps(df, bench, most_seeds=most).collect()
         assert {(x["doc_id"], x["item_id"]) for x in got} == want and len(got) == len(want) > 20
+        found.append(sorted(map(tuple, got)))
+    assert found[0] == found[1]
     assert decontam.overlaps(df.limit(0), bench).count() == 0 and decontam.overlaps(df, bench.limit(0)).count() == 0
+
+
+def test_repeated_tokens_and_rows(spark, monkeypatch):
+    """A token that repeats in document and item meets itself on every diagonal; nothing is gathered at once."""
+    monkeypatch.setattr(decontam, "_CHUNK", 500)
+    rows = [(1, "la " * 3000), (1, "la " * 3000), (None, "so la " * 400), (2, "xy " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "la " * 60), (1, "la " * 60), (2, "so la " * 20)], "item_id long, text string")
+    want = [(1, 1, 60, 0, 59, 0)] * 2 + [(None, 2, 40, 0, 39, 0)]
+    for most in (1 << 20, 1):
+        got = [tuple(r) for r in decontam.overlaps(df, bench, most_seeds=most).collect()]
+        assert {r[:3] for r in got} == {r[:3] for r in want} and len(got) == 3 and all(r[5] == 0 for r in got)
