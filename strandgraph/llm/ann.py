@@ -6,7 +6,9 @@ anisotropic loss: the part of the residual that is parallel to the vector, which
 most, weighs `eta` times as much as the rest. A scan adds up, for each query, a table entry for
 every two codes; the best of each block of rows are ranked anew by their true distances.
 
-The codebooks are fitted on a bounded sample; the index holds every row. Of equal vectors, only the k + 1 of the
+The codebooks are fitted on a bounded sample; the index holds every row. Index and queries are tables of blocks, a row each, and
+every block of queries meets every block of the index, so neither plan nor driver grows with either; a task keeps the best of the
+blocks of queries at hand only. Of equal vectors, only the k + 1 of the
 smallest ids can be among anyone's k nearest, so only those are kept: exact for any number of copies."""
 
 from __future__ import annotations
@@ -15,12 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 SUB, CODES = 2, 16
+#: Rows of a block of the index, and of a block of queries.
+ROWS, QUERIES = 4096, 2048
+#: Blocks of queries whose best a task keeps before it hands them on.
+_HELD = 16
 
 
 def _padded(x: np.ndarray) -> np.ndarray:
@@ -86,7 +93,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 def build_index(vectors: DataFrame, copies: int = 11, sample: int = 8192, threshold: float = 0.2) -> tuple[DataFrame, np.ndarray]:
-    """(vec_id, embedding, code) of the usable vectors, at most `copies` of each distinct one, and the codebooks.
+    """The index, blocks (ids, x, codes) of the usable vectors with at most `copies` of each distinct one, and the codebooks.
 
     The books are fitted on at most `sample` vectors, by the order of a hash of the id. `threshold` is the cosine from which on
     scores matter: eta is (d - 1) t^2 / (1 - t^2), at least 1. Of equal vectors the smallest ids are kept."""
@@ -98,16 +105,16 @@ def build_index(vectors: DataFrame, copies: int = 11, sample: int = 8192, thresh
     eta = max(1.0, (data.shape[1] - 1) * threshold**2 / (1 - threshold**2))
     books = train(data, eta)
 
-    @F.arrow_udf("binary")
-    def code(arrays: pa.Array) -> pa.Array:
-        x = _padded(np.asarray(arrays.flatten()).reshape(len(arrays), -1))
-        out = []
-        for k in range(0, len(x), 2048):
-            c = encode(x[k : k + 2048], books, eta)
-            out += [r.tobytes() for r in c[:, 0::2] * 16 + c[:, 1::2]]
-        return pa.array(out, pa.binary())
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                part = whole.slice(at, ROWS)
+                x = np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1)
+                c = np.concatenate([encode(y, books, eta) for y in np.array_split(_padded(x), -(-len(x) // 2048))])
+                values = (part.column(0).to_numpy().tobytes(), x.tobytes(), (c[:, 0::2] * 16 + c[:, 1::2]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["ids", "x", "codes"])
 
-    return written(rows.withColumn("code", code("embedding"))), books
+    return written(rows.mapInArrow(pack, "ids binary, x binary, codes binary")), books
 
 
 def _tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -116,63 +123,75 @@ def _tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (t[:, 0::2, :, None] + t[:, 1::2, None, :]).reshape(len(q), -1, 256).astype(np.float32)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, books: np.ndarray, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest to each query among the rows of a task."""
-    best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            batch = whole.slice(at, 4096)
-            n = batch.num_rows
-            vec_id = batch.column(0).to_numpy()
-            x = np.asarray(batch.column(1).flatten()).reshape(n, -1)
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
-            half = ((x * x).sum(axis=1) / 2).astype(np.float32)
-            take = min(n, rerank)
-            for s in range(0, len(q), 128):
+def _best(ids: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k nearest to each query among the rows of a block (infinite distances where there are fewer)."""
+    half = ((x * x).sum(axis=1) / 2).astype(np.float32)
+    take = min(len(vec_id), rerank)
+    tables = _tables(q, books)
+    score = np.repeat(-half[None], len(q), axis=0)
+    for j in range(codes.shape[1]):
+        score += tables[:, j][:, codes[:, j]]
+    order = np.argsort(vec_id, kind="stable")
+    own = order[np.minimum(np.searchsorted(vec_id[order], ids), len(order) - 1)]  # of one id, all stand next to each other
+    for i in np.flatnonzero(vec_id[own] == ids):
+        same = vec_id == ids[i]
+        score[i, same & (x == q[i]).all(axis=1)] = -np.inf
+    top = np.argpartition(-score, take - 1, axis=1)[:, :take]
+    diff = x[top] - q[:, None, :]
+    d = np.sqrt(np.cumsum(diff * diff, axis=2)[..., -1])  # added from the first component on, as a loop would
+    i = vec_id[top]
+    d[np.isneginf(np.take_along_axis(score, top, 1))] = np.inf
+    order = np.lexsort((i, d), axis=1)[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], books: np.ndarray, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
+    """From pairs of a block of queries and a block of the index, the k nearest to each query among what the task has seen since it last handed them on."""
+    held: dict[int, list[np.ndarray]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for number, (ids, d, i) in held.items():
+            row, _ = np.nonzero(np.isfinite(d))
+            found = np.isfinite(d)
+            yield pa.RecordBatch.from_arrays([pa.array(number + row), pa.array(ids[row]), pa.array(i[found]), pa.array(d[found])], ["query", "query_id", "vec_id", "score"])
+        held.clear()
+
+    for batch in batches:
+        for number, *row in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in range(1, 6))):
+            ids, q, vec_id, x, codes = (np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.int64, np.float64, np.int64, np.float64, np.uint8)))
+            q, x, codes = q.reshape(len(ids), -1), x.reshape(len(vec_id), -1), codes.reshape(len(vec_id), -1)
+            if number not in held:
+                if len(held) == _HELD:
+                    yield from out()
+                held[number] = [ids.copy(), np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)]
+            _, best_d, best_i = held[number]
+            for s in range(0, len(ids), 128):
                 part = slice(s, s + 128)
-                tables = _tables(q[part], books)
-                score = np.repeat(-half[None], len(tables), axis=0)
-                for j in range(codes.shape[1]):
-                    score += tables[:, j][:, codes[:, j]]
-                score[ids[part][:, None] == vec_id[None]] = -np.inf
-                top = np.argpartition(-score, take - 1, axis=1)[:, :take]
-                diff = x[top] - q[part][:, None, :]
-                d = np.sqrt(np.cumsum(diff * diff, axis=2)[..., -1])  # added from the first component on, as a loop would
-                i = vec_id[top]
-                d[i == ids[part][:, None]] = np.inf
+                d, i = _best(ids[part], q[part], vec_id, x, codes, books, k, rerank)
                 d, i = np.concatenate([best_d[part], d], axis=1), np.concatenate([best_i[part], i], axis=1)
                 order = np.lexsort((i, d), axis=1)[:, :k]
                 best_d[part], best_i[part] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-    found = np.isfinite(best_d)
-    row, _ = np.nonzero(found)
-    for a in range(0, len(row), 50_000):
-        s = slice(a, a + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row[s]]), pa.array(best_i[found][s]), pa.array(best_d[found][s])], ["query_id", "vec_id", "score"])
+    yield from out()
 
 
-def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 10, rerank: int = 200, block: int = 2048) -> DataFrame:
+def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 10, rerank: int = 200, block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found to each row of `queries` (vec_id, embedding), nearest first, ties to the smaller vec_id.
 
-    score is the Euclidean distance in double precision. Rows of the query's own vec_id are no candidates. `rerank` rows of every
-    4096 are ranked by true distance. Queries go to the executors in blocks of `block`, each a scan of the index."""
-    rows = index.select("vec_id", "embedding", "code")
-    parts, held = [], []
-
-    def add() -> None:
-        ids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float).reshape(len(held), -1 if held else 0)
-        parts.append(rows.mapInArrow(lambda b: _scan(b, ids, q, books, k, rerank), "query_id long, vec_id long, score double"))
-        held.clear()
-
-    for r in queries.select("vec_id", "embedding").toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
-            add()
-    if held or not parts:
-        add()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    score is the Euclidean distance in double precision. A row equal to the query in id and vector is no candidate. Of each block of
+    the index (`ROWS` vectors), the `rerank` best by the tables are ranked by true distance: a share that is the same at every size."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for k in range(0, whole.num_rows, block):
+                part = whole.slice(k, block)
+                values = (part.column(0).to_numpy().tobytes(), np.asarray(part.column(1).flatten()).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([at]), *(pa.array([v], pa.binary()) for v in values)], ["query", "query_ids", "q"])
+                at += part.num_rows
+
+    asked = written(queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(pack, "query long, query_ids binary, q binary"))
+    met = asked.crossJoin(index.select("ids", "x", "codes")).mapInArrow(lambda b: _scan(b, books, k, rerank), "query long, query_id long, vec_id long, score double")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
@@ -180,6 +199,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """`search` for the rows whose vec_id is divisible by `every`, against all.
 
     Rows without an id, or with a vector that is null, empty, zero, not finite or not of the most frequent length, take no
-    part; a repeated row counts once. Other columns are not read. Without usable rows the result is empty."""
+    part; a repeated row counts once; rows of one id with different vectors are queries and candidates each by itself.
+    Other columns are not read. Without usable rows the result is empty."""
     index, books = build_index(vectors, k + 1)
     return search(index, books, usable(vectors).where(F.col("vec_id") % every == 0), k)

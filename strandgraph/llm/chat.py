@@ -33,11 +33,12 @@ def format_chats(rows: DataFrame) -> DataFrame:
 
     `formatted` is the rendered context and target; loss_start (from 0) and loss_length count code points of it.
     What follows the last assistant turn, or a conversation without any, gives one example with an empty mask
-    (trainable false), so that no turn is lost. Null texts and roles are empty; rows with a null conv_id
-    form one conversation; turns are ordered by (turn, role, text), nulls first, and repeated rows stay.
+    (trainable false), so that no turn is lost. Null texts and roles are empty; each row with a null conv_id
+    is a conversation of its own; turns are ordered by (turn, role, text), nulls first, and repeated rows stay.
     Other columns are not read."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    talks = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    talks = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    talks = talks.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns")))
     head = lambda t: F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit("\n"), F.lit("~3")), F.lit("\n"))
     pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("reply")))
     talks = talks.select("conv_id", pieces.alias("p"))

@@ -59,8 +59,14 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[tupl
     return filled.select(*levels, "tokens", "given")
 
 
-def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def identity(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What a row is known by: its doc_id and, if it has a text, a digest of that, so that many rows without an id don't stand together."""
+    own = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.concat(own, F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))) if text in docs.columns else own
+
+
+def order_key(seed: int, epoch: Column, own: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), own).cast("binary"))
 
 
 def mix(
@@ -69,13 +75,13 @@ def mix(
     """The rows of `docs`, once for each epoch that takes them, with `n_tokens`, `epoch` (from 0), `leaf_budget` and the levels as `level_<name>`.
 
     `budget` is a number of tokens or an expression over the leaves' `tokens`. Nulls in a level count as an
-    empty name, a null text has no tokens. Rows of one doc_id in a leaf (null is an id too) stay together at the
+    empty name, a null text has no tokens. Rows of a leaf that are equal in doc_id and text stay together at the
     end of a prefix. A leaf without tokens, or below a node of weight 0, gives nothing. An empty table gives an
     empty result. Columns of `docs` that the added ones name are replaced."""
     names = [f"level_{x}" for x in levels]
     added = {**{n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(names, levels.values())}, "n_tokens": tokens if tokens is not None else word_count(F.col("text"))}
     base = docs.drop("epoch", "leaf_budget").withColumns(added)
-    narrow = written(base.select(*names, F.col(doc_id).alias("id"), "n_tokens"))
+    narrow = written(base.select(*names, identity(docs, doc_id).alias("id"), "n_tokens"))
     leaves = written(narrow.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     budget = budget if isinstance(budget, Column) else F.lit(budget).cast("long")
     plan = leaf_budgets(leaves, names, weights, budget, max_epochs)
@@ -96,6 +102,6 @@ def mix(
     fits = last.withColumn("upto", running).groupBy(*names, "part").agg(F.max(F.expr("IF(upto <= rest, key, NULL)")).alias("last"))
     ends = fits.select(*names, F.coalesce("last", "part").alias("end"))
     plan = written(plan.join(ends, names, "left"))
-    key = order_key(seed, F.col("whole"), F.col(doc_id))
+    key = order_key(seed, F.col("whole"), identity(docs, doc_id))
     count = F.col("whole") + F.when(F.col("end").isNotNull() & (key <= F.col("end")), 1).otherwise(0)
     return base.join(plan, names).where(count > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).drop("whole", "rest", "end")

@@ -49,13 +49,16 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{_SAID}'), (-7L, 1L, 'assistant', '{_SAID}') AS t(conv_id, turn, role, text)")
     examples = chat.format_chats(rows.unionByName(planted))
-    # The loss text of each example, and the last example, which holds every turn.
-    got = examples.groupBy("conv_id").agg(
+    # The loss text of each example, and the last example, which holds every turn. Without a conv_id, an example is a whole conversation.
+    loss = F.struct("example", chat.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("t"))
+    got = examples.where("conv_id IS NOT NULL").groupBy("conv_id").agg(
         F.max_by("formatted", "example").alias("last"),
-        F.sort_array(F.collect_list(F.struct("example", chat.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("t")))).alias("losses"),
+        F.sort_array(F.collect_list(loss)).alias("losses"),
         F.sum(F.length("formatted")).alias("formatted_chars"),
         F.count(F.lit(1)).alias("n_examples"),
     )
+    alone = examples.where("conv_id IS NULL")
+    got = got.unionByName(alone.select("conv_id", F.col("formatted").alias("last"), F.array(loss).alias("losses"), F.length("formatted").cast("long").alias("formatted_chars"), F.lit(1).cast("long").alias("n_examples")))
     turns, loss = chat.read_turns(F.col("last")), F.array_join(F.col("losses.t"), "")
     return got.select(
         "conv_id", F.size(turns).cast("long").alias("n_turns"),
@@ -150,22 +153,23 @@ windows AS (SELECT *, list_filter(range(0, len(m) - w + 1), lambda q: list_sum(m
 found AS (SELECT r, item_id, d, len(list_distinct(flatten(list_transform(qs, lambda q: range(q, q + w))))) AS matched, list_min(qs) + lo + d AS first, list_max(qs) + w - 1 + lo + d AS last, w - list_max(list_transform(qs, lambda q: list_sum(m[q + 1:q + w]))) AS subs FROM windows WHERE len(qs) > 0)
 SELECT doc_id, item_id, matched::INTEGER AS matched_tokens, first::INTEGER AS first_token, last::INTEGER AS last_token, subs::INTEGER AS substitutions FROM (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY matched DESC, d) AS rn FROM found) JOIN docs USING (r) WHERE rn = 1""",
     "op2_mixing": f"""
-WITH base AS (SELECT doc_id, {_DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents),
+WITH base AS (SELECT doc_id, {_DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS own FROM documents),
 leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM base GROUP BY domain, lang, source HAVING sum(n_tokens) > 0),
 root AS (SELECT CAST(coalesce(sum(tokens), 0) AS BIGINT) * 6 // 10 AS budget FROM leaves),{_fill_sql("one", "root", 1)},{_fill_sql("two", "one", 2)},{_fill_sql("three", "two", 3)},
 plan AS (SELECT domain, lang, source, budget AS leaf_budget, budget // tokens AS whole, budget % tokens AS rest FROM three),
-keyed AS (SELECT b.*, leaf_budget, whole, rest, md5('7:' || CAST(whole AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM base b JOIN plan USING (domain, lang, source)),
+keyed AS (SELECT b.*, leaf_budget, whole, rest, md5('7:' || CAST(whole AS VARCHAR) || ':' || own) AS k FROM base b JOIN plan USING (domain, lang, source)),
 ranked AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) AS upto FROM keyed),
 counted AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS n FROM ranked)
 SELECT doc_id, domain AS level_domain, lang AS level_lang, source AS level_source, CAST(n_tokens AS BIGINT) AS n_tokens, e AS epoch, CAST(leaf_budget AS BIGINT) AS leaf_budget
 FROM counted JOIN (SELECT CAST(0 AS BIGINT) AS e UNION ALL SELECT 1 UNION ALL SELECT 2) ON e < n""",
     "op4_chat": f"""
-WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')) t(conv_id, turn, role, text)),
-sized AS (SELECT *, {len(chat.OPEN) + 1 + len(chat.CLOSE)} + {_escaped("role")} + length(role) - length(replace(role, chr(10), '')) + {_escaped("text")} AS size, row_number() OVER o AS n, count(*) OVER (PARTITION BY conv_id) AS turns FROM rows
-  WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-ends AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) AS upto, role = 'assistant' OR n = turns AS target FROM sized)
+WITH rows AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT conv_id, 0, turn, role, text FROM (VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')) t(conv_id, turn, role, text)),
+sized AS (SELECT *, {len(chat.OPEN) + 1 + len(chat.CLOSE)} + {_escaped("role")} + length(role) - length(replace(role, chr(10), '')) + {_escaped("text")} AS size, row_number() OVER o AS n, count(*) OVER (PARTITION BY conv_id, alone) AS turns FROM rows
+  WINDOW o AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)),
+ends AS (SELECT *, sum(size) OVER (PARTITION BY conv_id, alone ORDER BY n) AS upto, role = 'assistant' OR n = turns AS target FROM sized)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(upto) FILTER (WHERE target)::BIGINT AS formatted_chars, count(*) FILTER (WHERE target) AS n_examples FROM ends GROUP BY conv_id""",
+sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(upto) FILTER (WHERE target)::BIGINT AS formatted_chars, count(*) FILTER (WHERE target) AS n_examples FROM ends GROUP BY conv_id, alone""",
     "op8_lines": """
 WITH parts AS MATERIALIZED (SELECT DISTINCT doc_id, CAST(n - 1 AS INTEGER) AS line_no, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id IS NOT NULL) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
 firsts AS MATERIALIZED (SELECT l, length(l) AS n, doc_id AS d, line_no AS p FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY doc_id, line_no) AS rn FROM parts) WHERE rn = 1),
@@ -178,6 +182,6 @@ WHERE o.doc_id > coalesce(k.d, f.d) OR o.doc_id = coalesce(k.d, f.d) AND o.line_
     "op9_ann": """
 WITH v AS MATERIALIZED (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT len(embedding) FROM embeddings WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10""",
+d AS (SELECT q.vec_id AS query_id, q.e AS q, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND (q.vec_id <> c.vec_id OR q.e <> c.e))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10""",
 }

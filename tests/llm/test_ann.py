@@ -46,6 +46,23 @@ def test_copies_ties_and_odd_rows(spark):
     assert [v for _, v, _ in got[900]][:4] == [901, 902, 903, 904]
 
 
+def test_vectors_that_share_an_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 3.0]), (0, [0.0, 3.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df).collect())
+    far, near = math.sqrt(10), math.sqrt(2)
+    assert got == sorted([(0, 1, 7, near), (0, 2, 0, far), (0, 1, 7, 2.0), (0, 2, 0, far)])
+
+
+def test_plan_does_not_grow_with_the_queries(spark):
+    r = np.random.default_rng(6)
+    sizes = []
+    for n in (100, 5000):
+        df = spark.createDataFrame([(k, r.normal(size=4).tolist()) for k in range(n)], "vec_id long, embedding array<double>")
+        index, books = ann.build_index(df)
+        sizes.append(str(ann.search(index, books, df, 2, block=50)._jdf.queryExecution().optimizedPlan()).count("\n"))
+    assert sizes[0] == sizes[1]
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(df).collect()] == [(0, 1, 7, math.sqrt(2))]

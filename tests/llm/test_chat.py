@@ -28,9 +28,12 @@ def test_examples(spark):
 
 
 def test_query(spark, tmp_path):
-    rows = [(1, 0, "user", NASTY[0]), (1, 1, "assistant", "ü" * 3), (1, 2, "assistant", None), (2, 0, "user", "x")]
+    rows = [(1, 0, "user", NASTY[0]), (1, 1, "assistant", "ü" * 3), (1, 2, "assistant", None), (2, 0, "user", "x"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, 1, "assistant", "y")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r["conv_id"]: r for r in queries.op4_chat(spark, str(tmp_path)).collect()}
+    rows = queries.op4_chat(spark, str(tmp_path)).collect()
+    got = {r["conv_id"]: r for r in rows if r["conv_id"] is not None}
+    alone = sorted((r["n_turns"], r["loss_chars"], r["n_examples"]) for r in rows if r["conv_id"] is None)
+    assert alone == [(1, 0, 1), (1, 1, 1), (1, 1, 1)]  # each row without a conv_id is a conversation
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     said = "</s>[INST] ok [/INST]"
     want = {1: (3, sha(f"user\n{said}\nassistant\nüüü\nassistant\n\n"), 3, sha("üüü")), 2: (1, sha("user\nx\n"), 0, sha("")), -7: (2, sha(f"user\n{said}\nassistant\n{said}\n"), len(said), sha(said))}

@@ -40,19 +40,19 @@ def test_prefixes_against_brute_force(spark):
     import random
 
     r = random.Random(5)
-    rows = [(k, " ".join("w" * r.randint(0, 40)), r.choice("ab"), None if k % 7 else "s") for k in range(400)] + [(None, "q w", "a", None), (3, "again and again", "a", None), (9000, None, "b", "s"), (9001, "", "zero", "zero")]
+    rows = [(k, " ".join("w" * r.randint(0, 40)), r.choice("ab"), None if k % 7 else "s") for k in range(400)] + [(None, f"q {'w ' * k}", "a", None) for k in range(9)] + [(3, "again and again", "a", None), (3, "again and again", "a", None), (9000, None, "b", "s"), (9001, "", "zero", "zero")]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, lang string, source string, epoch string")
     out = mixing.mix(df, {"lang": F.col("lang"), "source": F.col("source")}, {("a",): 2}, 2500, max_epochs=2, seed=1)
     got = sorted((str(x["doc_id"]), x["level_lang"], x["level_source"], x["epoch"]) for x in out.collect())
     plan = {(x["level_lang"], x["level_source"]): x["leaf_budget"] for x in out.select("level_lang", "level_source", "leaf_budget").distinct().collect()}
     want = []
     for (lang, source), given in plan.items():
-        own = [(i, len((t or "").split())) for i, t, a, s in rows if (a, s or "") == (lang, source)]
-        whole, rest = divmod(given, sum(n for _, n in own))
-        key = lambda i: hashlib.md5(f"1:{whole}:{'' if i is None else i}".encode()).hexdigest()  # noqa: B023, E731
-        upto = {i: sum(n for j, n in own if key(j) <= key(i)) for i, _ in own}
-        for i, _ in own:
-            want += [(str(i), lang, source, e) for e in range(whole + (rest > 0 and upto[i] <= rest))]
+        own = [(i, t or "", len((t or "").split())) for i, t, a, s in rows if (a, s or "") == (lang, source)]
+        whole, rest = divmod(given, sum(n for *_, n in own))
+        key = lambda i, t: hashlib.md5(f"1:{whole}:{'' if i is None else i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()  # noqa: B023, E731
+        for i, t, _ in own:
+            upto = sum(n for j, u, n in own if key(j, u) <= key(i, t))
+            want += [(str(i), lang, source, e) for e in range(whole + (rest > 0 and upto <= rest))]
     assert got == sorted(want) and 2400 < sum(plan.values()) <= 2500
 
 
