@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, prefix_hash, span_hash, text_blocks, words, written
 
-SCHEMA = "doc_id long, item_id long, matched_tokens int, first_token int, last_token int, substitutions int"
+SCHEMA = "doc_id long, text_key long, item_id long, matched_tokens int, first_token int, last_token int, substitutions int"
 _BITS = 22
 #: Pairs of windows that are verified at once.
 _CHUNK = 100_000
@@ -127,10 +127,9 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
             if key not in best or got[0] > best[key][0]:  # of equals, that of the least diagonal, which comes first
                 best[key] = got
         if best:
-            ids = rows.column(0)
-            columns = [[ids[r].as_py() for r, _ in best], [int(index.ids[i]) for _, i in best]]
+            columns = [*([rows.column(c)[r].as_py() for r, _ in best] for c in (0, 1)), [int(index.ids[i]) for _, i in best]]
             columns += zip(*((m, x - int(begin[r]), y - int(begin[r]), b) for (r, _), (m, x, y, b) in best.items()))
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+            kinds = [*[pa.int64()] * 3, *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
@@ -187,7 +186,7 @@ def _filter(table: DataFrame, bits: int) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], sizes: list[int], similarity: float, bloom: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """(rid, doc_id, size, p, seed, toks) of each mask and window of whole documents that passes the filter."""
+    """(rid, doc_id, text_key, size, p, seed, toks) of each mask and window of whole documents that passes the filter."""
     rid = TaskContext.get().partitionId() << 40
     for rows, data, at in text_blocks(batches, "text"):
         hashes, row, start, end = tokens(data, at, True)
@@ -203,8 +202,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], sizes: list[int], similarity:
                     p = p[(bloom[at_bits >> np.uint64(3)] >> (at_bits & np.uint64(7)).astype(np.uint8)) & 1 > 0]
                 for c in range(0, len(p), 20_000):
                     x = p[c : c + 20_000]
-                    values = [pa.array(rid + row[x]), rows.column(0).take(pa.array(row[x])), pa.array(np.full(len(x), size, np.int32)), pa.array((x - begin[row[x]]).astype(np.int32)), pa.array(s[x].view(np.int64)), pa.array(_window_texts(data, start, end, x, size), pa.string())]
-                    yield pa.RecordBatch.from_arrays(values, ["rid", "doc_id", "size", "p", "seed", "toks"])
+                    values = [pa.array(rid + row[x]), *(rows.column(k).take(pa.array(row[x])) for k in (0, 1)), pa.array(np.full(len(x), size, np.int32)), pa.array((x - begin[row[x]]).astype(np.int32)), pa.array(s[x].view(np.int64)), pa.array(_window_texts(data, start, end, x, size), pa.string())]
+                    yield pa.RecordBatch.from_arrays(values, ["rid", "doc_id", "text_key", "size", "p", "seed", "toks"])
         rid += rows.num_rows
 
 
@@ -214,27 +213,27 @@ def _joined(source: DataFrame, items: DataFrame, window: int, similarity: float,
     known = {r["size"]: r["n"] for r in table.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` sizes
     bits = min(27, max(_BITS, math.ceil(math.log2(16 * sum(known.values()) + 1))))
     bloom = _filter(table, bits)
-    rows = written(source.mapInArrow(lambda b: _candidates(b, sorted(known), similarity, bloom, bits), "rid long, doc_id long, size int, p int, seed long, toks string"))
+    rows = written(source.mapInArrow(lambda b: _candidates(b, sorted(known), similarity, bloom, bits), "rid long, doc_id long, text_key long, size int, p int, seed long, toks string"))
     bad = F.aggregate(F.zip_with(F.split("toks", " "), F.split("theirs", " "), lambda x, y: (x != y).cast("int")), F.lit(0), lambda x, y: x + y)
-    met = rows.join(table.withColumnRenamed("toks", "theirs"), ["seed", "size"]).select("rid", "doc_id", "item_id", "item_key", "size", "p", (F.col("p") - F.col("q")).alias("d"), bad.alias("bad"))
+    met = rows.join(table.withColumnRenamed("toks", "theirs"), ["seed", "size"]).select("rid", "doc_id", "text_key", "item_id", "item_key", "size", "p", (F.col("p") - F.col("q")).alias("d"), bad.alias("bad"))
     allowed = F.element_at(F.array(*(F.lit(tolerance(n, similarity)) for n in range(1, window + 1))), F.col("size"))
-    per = met.where(F.col("bad") <= allowed).groupBy("rid", "doc_id", "item_id", "item_key", "size", "d").agg(F.array_sort(F.collect_set("p")).alias("p"), F.min("bad").alias("bad"))
+    per = met.where(F.col("bad") <= allowed).groupBy("rid", "doc_id", "text_key", "item_id", "item_key", "size", "d").agg(F.array_sort(F.collect_set("p")).alias("p"), F.min("bad").alias("bad"))
     steps = F.zip_with(F.slice("p", F.lit(2), F.size("p")), F.slice("p", F.lit(1), F.size("p") - 1), lambda y, x: y - x)
     covered = F.col("size") + F.aggregate(F.transform(steps, lambda x: F.least(x, F.col("size"))), F.lit(0), lambda x, y: x + y)
     got = F.struct((-covered).alias("m"), "d", F.get("p", F.lit(0)).alias("first"), (F.get("p", F.size("p") - 1) + F.col("size") - 1).alias("last"), "bad")
-    best = per.groupBy("rid", "doc_id", "item_id", "item_key").agg(F.min(got).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.m")).alias("matched_tokens"), F.col("b.first").alias("first_token"), F.col("b.last").alias("last_token"), F.col("b.bad").alias("substitutions"))
+    best = per.groupBy("rid", "doc_id", "text_key", "item_id", "item_key").agg(F.min(got).alias("b"))
+    return best.select("doc_id", "text_key", "item_id", (-F.col("b.m")).alias("matched_tokens"), F.col("b.first").alias("first_token"), F.col("b.last").alias("last_token"), F.col("b.bad").alias("substitutions"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 13, similarity: float = 0.8, least: int = 5, most_seeds: int = 1 << 20) -> DataFrame:
     """One row per document and benchmark item that overlap: some window of `window` tokens of the item (all of it, if shorter) stands in the document with at most 1 - similarity of its tokens substituted.
 
-    matched_tokens counts the document's tokens within such windows on the best diagonal, first_token and
+    text_key is a hash of the document's text, which tells rows apart that share a doc_id or have none. matched_tokens counts the document's tokens within such windows on the best diagonal, first_token and
     last_token are their ends, substitutions the fewest in one window. Items of fewer than `least` tokens
     aren't searched, as so short a string stands in many documents by chance (1 searches them all); null items
     aren't either, and equal ones are one. A null or empty text overlaps nothing; rows with a null doc_id give rows
     with a null; repeated rows repeat. Columns besides doc_id and the text are not read."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text).alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.lower(text).alias("text"))
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_key"), F.lower("text").alias("text")).distinct()
     masks = math.comb(tolerance(window, similarity) + 3, 3)
     sizes = items.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit("[^a-z0-9\\x{80}-\\x{10FFFF}]+")) + 1).alias("tokens")).first()

@@ -94,7 +94,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix, op2_mixing, op3_quality, op4_chat, op5_lm, op6_simhash, op7_warc, op8_lines, op9_ann, op10_decontam)}

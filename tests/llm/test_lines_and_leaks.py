@@ -136,5 +136,5 @@ def test_repeated_tokens_and_rows(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "la " * 60), (1, "la " * 60), (2, "so la " * 20)], "item_id long, text string")
     want = [(1, 1, 60, 0, 59, 0)] * 2 + [(None, 2, 40, 0, 39, 0)]
     for most in (1 << 20, 1):
-        got = [tuple(r) for r in decontam.overlaps(df, bench, most_seeds=most).collect()]
+        got = [tuple(r) for r in decontam.overlaps(df, bench, most_seeds=most).drop("text_key").collect()]
         assert {r[:3] for r in got} == {r[:3] for r in want} and len(got) == 3 and all(r[5] == 0 for r in got)
