@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..components import connected_components
 from ..functions.predicates import TYPES, TRUST, is_flow, is_synthetic, is_test, score
 from ..functions.text import dot, mermaid
 from ..graph import WRITE, Graph
@@ -44,62 +46,99 @@ def collapsed(graph: Graph, level: str) -> DataFrame:
     return flow.where("a <> b").select("a", "b").distinct()
 
 
-def _least_reaching(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
+def _least_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels (node, label) lowered along edges (a, b) until none falls: the least label that reaches a node."""
-    for _ in range(rounds):
+    while True:
         sent = edges.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("new"))
         moved = written(labels.join(sent, "node", "left").select("node", F.least("label", F.coalesce("new", "label")).alias("label"), (F.col("new") < F.col("label")).alias("fell")))
         labels = moved.select("node", "label")
         if moved.where("fell").isEmpty():
-            break
-    return labels
+            return labels
+
+
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The edges without nodes that nothing enters or leaves, and whether any went."""
+    both = written(edges.select(F.col("a").alias("n")).distinct().join(edges.select(F.col("b").alias("n")).distinct(), "n", "left_semi"))
+    kept = written(edges.join(both.select(F.col("n").alias("a")), "a", "left_semi").join(both.select(F.col("n").alias("b")), "b", "left_semi"))
+    return kept, kept.count() < edges.count()
 
 
-def components(edges: DataFrame, rounds: int = 256) -> DataFrame:
+def _chains(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) from a node that has no other way out to one that has no other way in: every cycle through one end goes through the other."""
+    out = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("a")
+    into = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("b")
+    return written(edges.where("a <> b").join(out, "a", "left_semi").join(into, "b", "left_semi"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the strongly connected components of more than one node; component is the least node.
 
-    Nodes without edges in or out are trimmed; the least label that reaches a node, taken forward, cuts the graph into
-    parts, of which those that reach their label's node back are its component. What is left goes on."""
-    edges = written(edges.select("a", "b").distinct())
-    done: DataFrame | None = None
+    Nodes without edges in or out are trimmed and chains are drawn together into one node, over and over, so that long cycles and tails
+    take rounds by the logarithm of their length. Then the least label that reaches a node, taken forward, cuts the graph into
+    parts, of which those that reach their label's node back are its component. What is left goes on. Every loop ends when
+    nothing changes, never after a number of rounds."""
+    edges = written(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct())
+    first = edges
+    stands: DataFrame | None = None  # (node, at): the node that a node was drawn into
+    done: list[DataFrame] = []  # (node, component) of the nodes drawn together
     while True:
-        for _ in range(rounds):
-            both = edges.select(F.col("a").alias("n")).distinct().join(edges.select(F.col("b").alias("n")).distinct(), "n", "left_semi")
-            both = written(both)
-            kept = written(edges.join(both.select(F.col("n").alias("a")), "a", "left_semi").join(both.select(F.col("n").alias("b")), "b", "left_semi"))
-            shrunk = kept.count() < edges.count()
-            edges = kept
+        while True:
+            edges, shrunk = _trimmed(edges)
+            chain = _chains(edges)
+            if not chain.isEmpty():
+                into = written(connected_components(chain))
+                sizes = into.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(chain.join(into, chain["a"] == into["node"]).groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component")
+                rings = written(sizes.where("n = m").select("component"))  # a chain that closes is a component as it is
+                done.append(written(rings.select(F.col("component").alias("node"), "component")))
+                rest = edges.join(chain, ["a", "b"], "left_anti")
+                for end in ("a", "b"):
+                    rest = rest.join(into.select(F.col("node").alias(end), F.col("component").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+                edges = written(rest.select("a", "b").distinct())
+                moved = into.select("node", F.col("component").alias("at"))
+                if stands is None:
+                    stands = moved
+                else:
+                    again = stands.join(moved.select(F.col("node").alias("at"), F.col("at").alias("_to")), "at", "left").select("node", F.coalesce("_to", "at").alias("at"))
+                    stands = again.unionByName(moved.join(stands, "node", "left_anti"))
+                stands = written(stands)
+                shrunk = True
             if not shrunk:
                 break
         if edges.isEmpty():
             break
         nodes = edges.select(F.col("a").alias("node")).distinct()
-        labels = _least_reaching(edges, written(nodes.select("node", F.col("node").alias("label"))), rounds)
+        labels = _least_reaching(edges, written(nodes.select("node", F.col("node").alias("label"))))
         same = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la = lb").select("a", "b")
         same = written(same)
-        back = _least_reaching(same.select(F.col("b").alias("a"), F.col("a").alias("b")), written(labels.select("node", F.col("node").alias("label"))), rounds)
+        back = _least_reaching(same.select(F.col("b").alias("a"), F.col("a").alias("b")), written(labels.select("node", F.col("node").alias("label"))))
         # Within a part, the root has the part's label; what comes back to it has that as its least label against the edges too.
         found = written(labels.join(back.withColumnRenamed("label", "back"), "node").where("label = back").select("node", F.col("label").alias("component")))
-        done = found if done is None else done.unionByName(found)
+        loops = edges.where("a = b").select(F.col("a").alias("node"))
+        many = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        real = many.where("n > 1").select("component").unionByName(found.join(loops, "node", "left_semi").select("component")).distinct()
+        done.append(written(found.join(real, "component", "left_semi").select("node", "component")))
         edges = written(edges.join(found.select(F.col("node").alias("a")), "a", "left_anti").join(found.select(F.col("node").alias("b")), "b", "left_anti"))
-    if done is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    large = done.groupBy("component").count().where("count > 1").select("component")
-    return done.join(large, "component").select("node", "component")
+    if not done:
+        return first.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    found = reduce(DataFrame.unionByName, done)
+    if stands is not None:  # back to the nodes that were drawn together
+        drawn = stands.where("node <> at").join(found.select(F.col("node").alias("at"), "component"), "at").select("node", "component")
+        found = found.unionByName(drawn)
+    least = found.groupBy("component").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
 
 
-def shortest_loop(edges: DataFrame, start: str, rounds: int = 64) -> list[str]:
+def shortest_loop(edges: DataFrame, start: str) -> list[str]:
     """A shortest way from `start` back to it over edges (a, b), the least node first among equals; empty if there is none."""
     at = edges.where(F.col("a") == start).select("b", F.array("a", "b").alias("path"))
     seen = None
-    for _ in range(rounds):
+    while True:  # ends: no node is come to twice
         at = written(at.groupBy("b").agg(F.min("path").alias("path")))
         end = at.where(F.col("b") == start).first()
         if end or at.isEmpty():
             return list(end["path"]) if end else []
         seen = at.select("b") if seen is None else seen.unionByName(at.select("b"))
         at = at.select(F.col("b").alias("a"), "path").join(edges, "a").join(seen, "b", "left_anti").select("b", F.concat("path", F.array("b")).alias("path"))
-    return []
 
 
 def test_projects(graph: Graph) -> DataFrame:
@@ -171,10 +210,7 @@ def lines(df: DataFrame) -> Iterator[str]:
     return (r["line"] for r in df.orderBy("place").toLocalIterator())
 
 
-def around(graph: Graph, start: int, depth: int = 1) -> DataFrame:
+def around(graph: Graph, start: int, depth: int = 1, direction: str = "both", type_use: bool = False) -> DataFrame:
     """`walk.neighbourhood` over what a diagram would draw: no type use, no tests, no synthetic nodes."""
-    shown = graph.nodes.where(~is_test() & ~is_synthetic()).select("id")
-    edges = graph.edges.where("kind <> 'TypeUse'")
-    for end in ("src", "dst"):
-        edges = edges.join(shown.select(F.col("id").alias(end)), end, "left_semi")
-    return walk.neighbourhood(edges, start, depth)
+    shown = graph.nodes.where(~is_test() & ~is_synthetic()).join(test_projects(graph), "project", "left_anti").select("id")
+    return walk.neighbourhood(graph, start, depth, written(shown), direction, type_use)

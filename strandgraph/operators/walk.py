@@ -109,11 +109,16 @@ def reverse_reach_each(graph: Graph, targets: DataFrame, depth: int = 3) -> Data
     return walk(upstream(graph), start, depth, backward=True)
 
 
-def declaring_types(graph: Graph) -> DataFrame:
-    """(id, owner): the type that declares a member, by its first type use as member or constructor, else the one type its name begins with."""
-    held = graph.edges.where(F.col("note").isin(*OWNERS) & (F.col("kind") == "TypeUse")).groupBy(F.col("dst").alias("id")).agg(F.min_by("src", "ord").alias("owner"))
+def declaring_types(graph: Graph, of: DataFrame | None = None) -> DataFrame:
+    """(id, owner): the type that declares a member, by its first type use as member or constructor, else the one type its name begins with; of the nodes in `of` (id), or all."""
+    held = [e.where(F.col("note").isin(*OWNERS) & (F.col("kind") == "TypeUse")) for e in (graph.entering() if of is not None else (graph.edges,))]
+    if of is not None:
+        of = of.select("id").distinct()
+        held = [e.join(of.select(F.col("id").alias("dst")), "dst", "left_semi") for e in held]
+    held = reduce(DataFrame.unionByName, (e.select("src", "dst", "ord") for e in held)).groupBy(F.col("dst").alias("id")).agg(F.min_by("src", "ord").alias("owner"))
     named = graph.nodes.where(F.col("kind").isin(*TYPES)).groupBy(F.col("name").alias("prefix")).agg(F.min("id").alias("by_name"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    rest = graph.nodes.where(~F.col("kind").isin(*TYPES)).select("id", F.regexp_extract("name", r"^(.*)\.[^.]*$", 1).alias("prefix"))
+    rest = graph.nodes if of is None else graph.nodes.join(of, "id", "left_semi")
+    rest = rest.where(~F.col("kind").isin(*TYPES)).select("id", F.regexp_extract("name", r"^(.*)\.[^.]*$", 1).alias("prefix"))
     return rest.join(held, "id", "left").join(named, "prefix", "left").select("id", F.coalesce("owner", "by_name").alias("owner")).where("owner IS NOT NULL")
 
 
@@ -123,7 +128,7 @@ def blast_sections(graph: Graph, target: int, depth: int = 3) -> DataFrame:
 
     reached = blast_radius(graph, target, depth).join(graph.nodes.select("id", "tags", F.col("kind").alias("node_kind")), "id")
     direct = F.col("level") == 1
-    owners = reached.where(~direct).join(declaring_types(graph), "id", "left")
+    owners = reached.where(~direct).join(declaring_types(graph, reached), "id", "left")
     parts = [
         reached.where(is_entrypoint()).select(F.lit("entrypoint").alias("section"), "id"),
         reached.where(direct).select(F.when(is_test(), "direct-test").otherwise("direct").alias("section"), "id"),
@@ -141,11 +146,12 @@ def direct_callers(graph: Graph, target: int) -> DataFrame:
     """(id): who uses a type or its members from outside of it, once for each key."""
     own = one(graph, target)
     inside = own.select("id").unionByName(members(graph, own, OWNERS).select("id"))
-    callers = graph.edges.where("kind <> 'TypeUse'").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.min("ord").alias("ord"))
+    inside = written(inside.select(F.col("id").alias("dst")))
+    callers = reduce(DataFrame.unionByName, (e.where("kind <> 'TypeUse'").join(inside, "dst", "left_semi").select("src", "ord") for e in graph.entering()))
+    callers = written(callers.groupBy(F.col("src").alias("id")).agg(F.min("ord").alias("ord")))
     name = own.select(F.col("name").alias("outer"))
-    held = declaring_types(graph)
-    nodes = graph.nodes.select("id", "key", "name", "tags").join(held, "id", "left")
-    out = callers.join(nodes, "id").crossJoin(F.broadcast(name))  # one row
+    nodes = callers.join(graph.nodes.select("id", "key", "name", "tags"), "id").join(declaring_types(graph, callers), "id", "left")
+    out = nodes.crossJoin(F.broadcast(name))  # one row
     out = out.where((F.col("id") != target) & ~F.coalesce(F.col("owner") == target, F.lit(False)) & ~F.startswith("name", F.concat("outer", F.lit("."))))
     return out.groupBy("key").agg(F.min_by(F.struct("id", "tags"), "ord").alias("r")).select("r.id", F.array_contains("r.tags", "test").alias("is_test"))
 
@@ -164,10 +170,10 @@ def trace(graph: Graph, start: int, depth: int = 6) -> DataFrame:
     """The forward call tree with each node expanded once, at its least level; `ord` sorts it as a tree.
 
     Children stand in the order of bound, score, construction last. A type constructed below the first level is left out."""
-    nodes = graph.nodes.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind"))
-    way = graph.edges.where(is_flow()).join(nodes, "dst")
-    way = way.withColumn("kind", F.when((F.col("kind") == "Construct") & (F.col("dst_kind") == "type"), "Construct type").otherwise(F.col("kind"))).drop("dst_kind")
-    way = written(way)
+    types = graph.nodes.where("kind = 'type'").select(F.col("id").alias("dst"), F.lit(True).alias("is_type"))
+    made = graph.edges.where(is_flow() & (F.col("kind") == "Construct")).join(types, "dst", "left")
+    made = written(made.withColumn("kind", F.when(F.col("is_type"), "Construct type").otherwise(F.col("kind"))).drop("is_type"))
+    way = [*(e.where("kind <> 'Construct'") for e in flow(graph)), made]  # the stored edges as they are, so that their buckets serve
     rank = [F.when(F.col("note").eqNullSafe("di-bound"), 0).otherwise(1), F.round((1 - score()) * 1_000_000), F.when(F.col("kind").startswith("Construct"), 1).otherwise(0)]
     out = walk(way, seeds(one(graph, start)), depth, rank=rank, allow=lambda level: F.lit(True) if level <= 1 else F.col("k") != "Construct type")
     return out.withColumn("kind", F.when(F.col("kind") == "Construct type", "Construct").otherwise(F.col("kind")))
@@ -207,25 +213,41 @@ def hops(graph: Graph, start: int, goal: int, depth: int = 12) -> DataFrame:
     return shortest_path(graph, start, goal, depth).agg(F.coalesce(F.max("hop"), F.lit(0)).cast("long").alias("hops"))
 
 
-def neighbourhood(edges: DataFrame, start: int, depth: int = 1, rounds: int = 64) -> DataFrame:
-    """(distance, within, nodes): how many nodes of an undirected graph stand at each distance from `start`, up to what it reaches at all."""
-    first = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("id"))
-    both = edges.select("src", "dst", "kind", "note", "confidence", "source", "ord").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", "note", "confidence", "source", "ord"))
-    found = walk(both, seeds(first), rounds)
-    return found.groupBy(F.col("level").alias("distance")).agg(F.count(F.lit(1)).alias("nodes")).select("distance", (F.col("distance") <= depth).alias("within"), "nodes")
-
-
-def closure(refs: DataFrame, rounds: int = 64) -> DataFrame:
-    """(root, project): what each project reaches over its references (src, dst)."""
-    found = written(refs.select("src", "dst").distinct())
-    new = found
-    for _ in range(rounds):
-        new = new.select("src", F.col("dst").alias("via")).join(refs.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        new = written(new.join(found, ["src", "dst"], "left_anti"))
+def neighbourhood(graph: Graph, start: int, depth: int = 1, shown: DataFrame | None = None, direction: str = "both", type_use: bool = False) -> DataFrame:
+    """(distance, within, nodes): how many nodes stand at each distance from `start`, up to whatever it reaches; `shown` (id) are the nodes there are, all if not given.
+
+    direction: "out", "in" or "both". Only distances are kept. What was seen before is anti-joined; of a walk both ways that is
+    the last two levels, as a node's neighbours are at most one level apart."""
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"no such direction: {direction}")
+    links = [e.select(F.col(at).alias("id"), F.col(to).alias("to"), "kind") for parts, at, to, way in ((graph.leaving(), "src", "dst", "out"), (graph.entering(), "dst", "src", "in")) if direction in (way, "both") for e in parts]
+    links = [(e if type_use else e.where("kind <> 'TypeUse'")).drop("kind") for e in links]
+    here = lambda df: df if shown is None else df.join(shown.select("id"), "id", "left_semi")
+    level = written(here(graph.nodes.where(F.col("id") == start).select("id")))
+    seen, counts, distance = [level], [], 0
+    while True:
+        near = reduce(DataFrame.unionByName, (level.join(e, "id").select(F.col("to").alias("id")) for e in links)).distinct()
+        for before in seen:
+            near = near.join(before, "id", "left_anti")
+        level, distance = written(here(near)), distance + 1
+        n = level.count()
+        if not n:
+            return graph.nodes.sparkSession.createDataFrame(counts, "distance int, within boolean, nodes long")
+        counts.append((distance, distance <= depth, n))
+        seen = [seen[-1], level] if direction == "both" else [written(seen[0].unionByName(level))]
+
+
+def closure(refs: DataFrame) -> DataFrame:
+    """(root, project): what each project reaches over its references (src, dst), over however many.
+
+    Ways are joined with ways, so their length doubles with each round."""
+    found = new = written(refs.select("src", "dst").distinct())
+    while True:
+        ways = lambda a, b: a.select("src", F.col("dst").alias("via")).join(b.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
+        new = written(ways(new, found).unionByName(ways(found, new)).distinct().join(found, ["src", "dst"], "left_anti"))
         if new.isEmpty():
-            break
-        found = found.unionByName(new)
-    return found.select(F.col("src").alias("root"), F.col("dst").alias("project"))
+            return found.select(F.col("src").alias("root"), F.col("dst").alias("project"))
+        found = written(found.unionByName(new))
 
 
 def scope(refs: DataFrame, roots: DataFrame, solution: DataFrame | None = None) -> DataFrame:
@@ -236,16 +258,68 @@ def scope(refs: DataFrame, roots: DataFrame, solution: DataFrame | None = None)
     return roots.select("project").unionByName(reached).distinct()
 
 
-def project_depths(projects: DataFrame, refs: DataFrame, rounds: int = 64) -> DataFrame:
-    """(project, depth): the length of the longest chain of references below each project; references that close a cycle don't count on."""
-    depth = written(projects.select("project", F.lit(0).alias("depth")))
-    for _ in range(rounds):
-        below = refs.join(depth.select(F.col("project").alias("dst"), F.col("depth").alias("d")), "dst").groupBy(F.col("src").alias("project")).agg((F.max("d") + 1).alias("d"))
-        grown = written(depth.join(below, "project", "left").select("project", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth")))
-        if grown.exceptAll(depth).isEmpty():
+#: Most references among projects that are walked on the driver.
+MOST_REFERENCES = 1_000_000
+
+
+def project_depths(projects: DataFrame, refs: DataFrame) -> DataFrame:
+    """(project, depth): the length of the longest chain of references below each project.
+
+    Projects don't refer in cycles as a rule, and then depths are raised until none grows. If they do, a reference to a project that a walk in
+    the order of names is still below ends the chain there (it counts one); that is a matter of order, so the walk runs on the driver."""
+    refs = written(refs.select("src", "dst").distinct())
+    depth = written(projects.select("project").distinct().select("project", F.lit(0).alias("depth")))
+    rounds = 0
+    while True:
+        rounds += 1
+        if rounds == 64 and not _acyclic(refs):  # so long a chain, or depths that rise without end
             break
-        depth = grown
-    return depth
+        below = refs.join(depth.select(F.col("project").alias("dst"), F.col("depth").alias("d")), "dst").groupBy(F.col("src").alias("project")).agg((F.max("d") + 1).alias("d"))
+        grown = written(depth.join(below, "project", "left").select("project", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.col("d") > F.col("depth")).alias("grew")))
+        depth = grown.select("project", "depth")
+        if grown.where("grew").isEmpty():
+            return depth
+    rows = refs.limit(MOST_REFERENCES + 1).collect()
+    if len(rows) > MOST_REFERENCES:
+        raise ValueError(f"references in cycles, and more than {MOST_REFERENCES} of them")
+    names = [r["project"] for r in projects.select("project").distinct().limit(MOST_REFERENCES + 1).collect()]
+    if len(names) > MOST_REFERENCES:
+        raise ValueError(f"references in cycles, and more than {MOST_REFERENCES} projects")
+    return projects.sparkSession.createDataFrame(sorted(chains(names, [(r["src"], r["dst"]) for r in rows]).items()), "project string, depth int")
+
+
+def _acyclic(refs: DataFrame) -> bool:
+    from .structure import components
+
+    loops = refs.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return loops.where("a = b").isEmpty() and components(loops).isEmpty()
+
+
+def chains(names: list[str], refs: list[tuple[str, str]]) -> dict[str, int]:
+    """The longest chain below each project, by a walk in the order of names; a project that the walk stands below counts as a last one."""
+    below: dict[str, list[str]] = {}
+    for s, d in sorted(refs):
+        below.setdefault(s, []).append(d)
+    depth: dict[str, int] = {}
+    for name in sorted(names):
+        stack, deepest = ([(name, iter(below.get(name, ())))], [0]) if name not in depth else ([], [])
+        path = {name}
+        while stack:
+            project, rest = stack[-1]
+            d = next(rest, None)
+            if d is None:
+                stack.pop()
+                path.discard(project)
+                depth[project] = deepest.pop()
+                if deepest:
+                    deepest[-1] = max(deepest[-1], depth[project] + 1)
+            elif d in depth or d in path:
+                deepest[-1] = max(deepest[-1], depth.get(d, 0) + 1)
+            else:
+                path.add(d)
+                stack.append((d, iter(below.get(d, ()))))
+                deepest.append(0)
+    return {n: depth[n] for n in names}
 
 
 def build_order(projects: list[str], refs: list[tuple[str, str]]) -> tuple[list[str], list[tuple[str, str]]]:

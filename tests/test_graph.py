@@ -86,6 +86,87 @@ def test_components(spark, seed):
     assert {x["node"]: x["component"] for x in structure.components(df).collect()} == want
 
 
+def test_components_of_long_rings_and_tails(spark):
+    ring = [(k, (k + 1) % 400) for k in range(400)]
+    tail = [(400 + k, 401 + k) for k in range(150)] + [(550, 7)] + [(9, 1000)] + [(1000 + k, 1001 + k) for k in range(90)]
+    two = [(2000, 2001), (2001, 2000), (3000, 3000), (3000, 3001), (4000, 4001), (4001, 4002), (4002, 4001), (4002, 4003), (4003, 4000)]
+    df = spark.createDataFrame(ring + tail + two, "a long, b long")
+    got = {x["node"]: x["component"] for x in structure.components(df).collect()}
+    assert got == {**{k: 0 for k in range(400)}, 2000: 2000, 2001: 2000, **{k: 4000 for k in range(4000, 4004)}}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_with_chains(spark, seed):
+    r = random.Random(seed + 50)
+    core = [(r.randrange(8), r.randrange(8)) for _ in range(12)]
+    edges, new = set(), 100
+    for a, b in core:  # each edge drawn out to a chain
+        at = a
+        for _ in range(r.randrange(4)):
+            edges.add((at, new))
+            at, new = new, new + 1
+        edges.add((at, b))
+    nodes = sorted({n for e in edges for n in e})
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            reach[a] |= reach[b]
+    want = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes if any(n in reach[m] for m in reach[n] - {n})}
+    got = {x["node"]: x["component"] for x in structure.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    assert got == want
+
+
+def test_closure_and_depths_have_no_last_round(spark):
+    chain = spark.createDataFrame([(f"p{k:03}", f"p{k + 1:03}") for k in range(99)], "src string, dst string")
+    assert walk.closure(chain).count() == 100 * 99 // 2
+    names = spark.createDataFrame([(f"p{k:03}",) for k in range(100)], "project string")
+    got = {r["project"]: r["depth"] for r in walk.project_depths(names, chain).collect()}
+    assert got == {f"p{k:03}": 99 - k for k in range(100)}
+
+
+def test_depths_of_projects_that_refer_in_cycles(spark):
+    refs = [("a", "b"), ("b", "a"), ("c", "a"), ("b", "d"), ("d", "e"), ("x", "x")]
+
+    def sequential():
+        known = {}
+
+        def of(p, path):
+            if p in known:
+                return known[p]
+            if p in path:
+                return 0
+            known[p] = max([of(d, path | {p}) + 1 for s, d in sorted(refs) if s == p], default=0)
+            return known[p]
+
+        return {p: of(p, frozenset()) for p in "abcdex"}
+
+    names = spark.createDataFrame([(p,) for p in "abcdex"], "project string")
+    got = {r["project"]: r["depth"] for r in walk.project_depths(names, spark.createDataFrame(refs, "src string, dst string")).collect()}
+    assert got == sequential() == {"a": 3, "b": 2, "c": 4, "d": 1, "e": 0, "x": 1}
+
+
+def test_neighbourhood_of_a_long_chain(spark):
+    g = graph(spark, [node(k) for k in range(90)], [call(k, k + 1) for k in range(89)] + [call(5, 2, "TypeUse")])
+    for way, want in (("out", 79), ("in", 10), ("both", 79)):
+        got = {r["distance"]: (r["within"], r["nodes"]) for r in walk.neighbourhood(g, 10, 3, direction=way).collect()}
+        assert len(got) == want and got[3] == (True, 2 if way == "both" else 1) and got[4][0] is False
+    assert walk.neighbourhood(g, 10, shown=g.nodes.where("id BETWEEN 8 AND 12")).agg(F.sum("nodes")).first()[0] == 4
+    assert walk.neighbourhood(g, 10, shown=g.nodes.where("id <> 10")).count() == 0
+
+
+def test_review_says_what_it_can_not_see(spark):
+    g = graph(spark, [node(1), node(2)], [call(1, 2, "Interface")])
+    dated = graph(spark, [node(1), node(2)], [], meta=spark.createDataFrame([("abc12",)], "built_from_commit string"))
+    none = spark.createDataFrame([], "id string")
+    assert compare.review(g, dated, none, "ABC1234")[0] == 5
+    for now, head in ((g, "abc12"), (dated, "abd")):
+        with pytest.raises(compare.IndexGap):
+            compare.review(g, now, none, head)
+    changed = spark.createDataFrame([(f"p{k}.csproj",) for k in range(7)] + [("a.cs",)], "path string")
+    assert compare.reference_warning(changed).startswith("reference inputs changed: p0.csproj, p1.csproj, p2.csproj, p3.csproj, p4.csproj (+2 more)")
+    assert compare.reference_warning(changed.where("path = 'a.cs'")) is None
+
+
 def test_loop_order_and_depth(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "a")], "a string, b string")
     assert structure.shortest_loop(edges, "a") == ["a", "b", "c", "a"]
@@ -104,6 +185,7 @@ def test_selectors():
     c = [(1, "T.M", "T.M(System.Int32, A.X)"), (2, "T.M", "T.M(System.Int32, B.X)"), (3, "T.M", "T.M(ref System.String)"), (4, "T.M", "T.M(List<System.Int32?>, (int, string)[])")]
     pick = lambda *p: resolve.select_overloads([(i, s) for i, _, s in c], list(p))
     assert pick("int", "A.X") == [1] and pick("int", "X") == [1, 2] and pick("string") == [] and pick("ref string") == [3]
+    assert resolve.select_overloads([(1, "T.M(System.SByte, System.UIntPtr)")], ["sbyte", "nuint"]) == [1]
     assert pick("List<int>", "(Int32, String)[]") == [4]
     assert resolve.selectors(c)[1] == "T.M(System.Int32, A.X)" and resolve.selectors(c)[2] == "T.M(System.Int32, B.X)" and resolve.selectors(c)[3] == "T.M(String)"
     assert resolve.parse_selector(" T.M( int , Dictionary<string,int> ) ") == ("T.M", ["int", "Dictionary<string,int>"])
