@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,8 +71,20 @@ def load(spark: SparkSession, path: str) -> Graph:
     )
 
 
+class Contended(RuntimeError):
+    """Another writer moved the pointer at the same time."""
+
+
+#: The tables of a graph that a snapshot has, where the graph has them.
+TABLES = ("nodes", "edges", "files", "dirs", "unresolved", "external_types", "project_refs", "handlers", "diagnostics", "meta")
+
+
 class Snapshots:
-    """Snapshots of a graph as Parquet below one folder of any file system; a pointer file names the current and the previous one."""
+    """Snapshots of a graph as Parquet below one folder of any file system.
+
+    A pointer names the current snapshot and the one before. Pointers are numbered files that are made once and never changed, so a
+    reader finds the newest whole one at any time, and of two writers one fails to make the next number. A snapshot is whole
+    before a pointer names it; what a writer leaves that fails is never read."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -79,61 +92,96 @@ class Snapshots:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _write(self, name: str, text: str) -> None:
-        part = self._path(f"{self.root}/{name}.{uuid.uuid4().hex}")
-        out = self._fs.create(part, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        end = self._path(f"{self.root}/{name}")
-        self._fs.delete(end, False)
-        if not self._fs.rename(part, end):
-            raise OSError(f"{name} was written by another at the same time")
-
-    def _read(self, name: str) -> str | None:
-        path = f"{self.root}/{name}"
-        if not self._fs.exists(self._path(path)):
-            return None
-        return "\n".join(r["value"] for r in self.spark.read.text(path).collect())  # a line
-
-    def save(self, graph: Graph, rotate: bool = True) -> str:
-        """Writes a whole new snapshot, then moves the pointer; `rotate` keeps the one before as the previous."""
+    def _names(self, start: str) -> list[tuple[str, int]]:
+        """Names below the root that begin with `start`, and when they were made."""
+        root = self._path(self.root)
+        found = self._fs.listStatus(root) if self._fs.exists(root) else []
+        return sorted((s.getPath().getName(), s.getModificationTime()) for s in found if s.getPath().getName().startswith(start))
+
+    def pointer(self) -> tuple[int, str | None, str | None]:
+        """(number, current, previous) of the newest whole pointer; (0, None, None) without one."""
+        for name, _ in reversed(self._names("pointer-")):
+            text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.root}/{name}").collect())  # three words
+            words = text.split(" ")
+            if len(words) == 3 and words[2] == "end":
+                return int(name.removeprefix("pointer-")), words[0], None if words[1] == "-" else words[1]
+        return 0, None, None
+
+    def _point(self, current: str, rotate: bool, wait: bool) -> None:
+        for attempt in range(20):
+            _, was, before = self.pointer()
+            last = max([0, *(int(n.removeprefix("pointer-")) for n, _ in self._names("pointer-"))])
+            previous = (was if rotate else before) or "-"
+            try:
+                out = self._fs.create(self._path(f"{self.root}/pointer-{last + 1:012d}"), False)  # fails if it is there
+            except Exception as e:
+                if "exists" not in str(e).lower() or not wait:
+                    raise Contended(self.root) from e
+                time.sleep(0.05 * (attempt + 1))
+                continue
+            out.write(bytearray(f"{current} {previous} end".encode()))
+            out.close()
+            for name, _ in self._names("pointer-")[:-10]:
+                self._fs.delete(self._path(f"{self.root}/{name}"), False)
+            return
+        raise Contended(self.root)
+
+    def _write(self, graph: Graph, name: str) -> None:
+        for t in TABLES:
+            if (df := getattr(graph, t)) is not None:
+                df.write.mode("overwrite").parquet(f"{self.root}/snapshot={name}/{t}")
+
+    def save(self, graph: Graph, rotate: bool = True, wait: bool = True) -> str:
+        """Writes a whole new snapshot, then moves the pointer; `rotate` makes the one before the previous, else that stays.
+
+        If another writer is in the way, it is tried again, or, without `wait`, Contended is raised and nothing has changed."""
         name = uuid.uuid4().hex
-        graph.nodes.write.parquet(f"{self.root}/snapshot={name}/nodes")
-        graph.edges.write.parquet(f"{self.root}/snapshot={name}/edges")
-        before = self._read("CURRENT")
-        if before and rotate:
-            self._write("PREVIOUS", before)
-        self._write("CURRENT", name)
+        self._write(graph, name)
+        self._point(name, rotate, wait)
         return name
 
     def load(self, name: str | None = None, previous: bool = False) -> Graph:
-        name = name or self._read("PREVIOUS" if previous else "CURRENT")
-        if not name or not self._fs.exists(self._path(f"{self.root}/snapshot={name}/nodes")):
+        """The tables of a snapshot: the current, the previous or a named one."""
+        name = name or self.pointer()[2 if previous else 1]
+        at = lambda t: f"{self.root}/snapshot={name}/{t}"
+        if not name or not self._fs.exists(self._path(at("nodes"))):
             raise MissingGraph(self.root)
-        return Graph(*(self.spark.read.parquet(f"{self.root}/snapshot={name}/{t}") for t in ("nodes", "edges")))
+        return Graph(**{t: self.spark.read.parquet(at(t)) for t in TABLES if self._fs.exists(self._path(at(t)))})
 
     def base(self, commit: str, references: str) -> str:
         return f"base-{commit}-{references}"
 
     def save_base(self, graph: Graph, commit: str, references: str) -> str:
+        """A snapshot of a commit under its name; the nodes, whose folder tells that it is whole, come last."""
         name = self.base(commit, references)
-        for t in ("nodes", "edges"):
-            getattr(graph, t).write.mode("overwrite").parquet(f"{self.root}/snapshot={name}/{t}")
+        self._fs.delete(self._path(f"{self.root}/snapshot={name}/nodes"), True)
+        for t in reversed(TABLES):
+            if (df := getattr(graph, t)) is not None:
+                df.write.mode("overwrite").parquet(f"{self.root}/snapshot={name}/{t}")
         return name
 
-    def prune(self, commit: str | None = None, references: str | None = None, keep: int = 5) -> list[str]:
-        """Drops base snapshots of `commit` with other references, and all but the `keep` newest; the names of what went."""
-        found = [(s.getModificationTime(), s.getPath().getName().removeprefix("snapshot=")) for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("snapshot=base-")]
+    def prune(self, commit: str | None = None, references: str | None = None, keep: int = 5, older: float = 3600.0) -> list[str]:
+        """Drops base snapshots of `commit` with other references, all but the `keep` newest, and ordinary ones that no pointer names, if they are `older` seconds old, as one that is being written has no pointer yet; the names of what went."""
+        every = [(t, n.removeprefix("snapshot=")) for n, t in self._names("snapshot=")]
+        found = [(t, n) for t, n in every if n.startswith("base-")]
         other = [n for _, n in found if commit and n.startswith(f"base-{commit}-") and n != self.base(commit, references or "")]
         rest = sorted(((t, n) for t, n in found if n not in other), reverse=True)
-        gone = other + [n for _, n in rest[keep:]]
+        named = self.pointer()[1:]
+        loose = [n for t, n in every if not n.startswith("base-") and n not in named and time.time() - t / 1000 > older]
+        gone = other + [n for _, n in rest[keep:]] + loose
         for n in gone:
             self._fs.delete(self._path(f"{self.root}/snapshot={n}"), True)
         return gone
 
 
-def reference_key(references: DataFrame) -> Column | str:
-    """The first 12 hex digits of the SHA-256 of the sorted `name|size|ticks` lines of (name, size, ticks); references are few."""
+#: Most references that make a key together.
+MOST_REFERENCES = 100_000
+
+
+def reference_key(references: DataFrame) -> str:
+    """The first 12 hex digits of the SHA-256 of the sorted `name|size|ticks` lines of (name, size, ticks), at most MOST_REFERENCES."""
+    if references.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} references")
     line = F.concat_ws("|", "name", F.col("size").cast("string"), F.col("ticks").cast("string"))
     return references.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256), 1, 12).alias("k")).first()["k"]
 
@@ -156,7 +204,7 @@ def dirty_files(stamps: DataFrame, listing: DataFrame, moved_dirs: DataFrame | N
 
 
 #: Folders and endings that hold no sources of one's own.
-SKIPPED = ("bin", "obj", "node_modules", "packages", "TestResults")
+SKIPPED = ("bin", "obj", "node_modules", "packages", "TestResults", "artifacts")
 GENERATED = (".g.cs", ".g.i.cs", ".designer.cs", ".generated.cs", ".assemblyinfo.cs")
 
 
@@ -166,7 +214,7 @@ def listing(spark: SparkSession, root: str, ending: str = ".cs", content: bool =
     top = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     path = F.substring(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", ""), len(top) + 2, 1 << 20)
     low = F.lower(path)
-    keep = ~path.rlike(r"(^|/)(\.[^/]+|" + "|".join(SKIPPED) + r")/")
+    keep = ~path.rlike(r"(?i)(^|/)(\.[^/]+|" + "|".join(SKIPPED) + r")/")
     for g in GENERATED:
         keep = keep & ~low.endswith(g)
     hash_ = F.base64(F.unhex(F.sha2("content", 256))) if content else F.lit(None).cast("string")

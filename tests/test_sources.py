@@ -46,15 +46,35 @@ def test_snapshots(spark, tmp_path):
         store.load()
     first = store.save(g)
     second = store.save(g)
-    assert store.load().nodes.count() == 2 and store._read("CURRENT") == second and store._read("PREVIOUS") == first
+    assert store.load().nodes.count() == 2 and store.pointer()[1:] == (second, first)
+    third = store.save(g, rotate=False)
+    assert store.pointer()[1:] == (third, first) and store.load(previous=True).edges.count() == 2
+    got = store.load()
+    assert got.meta.first()["built_from_commit"] == "abc" and got.project_refs.count() == 2 and got.handlers.count() == 1 and got.files.count() == 0
     for n in range(3):
         store.save_base(g, f"c{n}", "r1")
         time.sleep(0.05)
     store.save_base(g, "c2", "r2")
-    assert "base-c2-r1" in store.prune("c2", "r2", keep=2)
+    gone = store.prune("c2", "r2", keep=2, older=0)
+    assert "base-c2-r1" in gone and second in gone and not {first, third} & set(gone)
     assert store.load(store.base("c2", "r2")).edges.count() == 2
 
 
+def test_a_writer_that_fails_or_is_late_changes_nothing(spark, tmp_path):
+    g = document.load(spark, write(tmp_path / "g.json", doc()))
+    store = document.Snapshots(spark, str(tmp_path / "store"))
+    first = store.save(g)
+    (tmp_path / "store" / "pointer-000000000002").write_text("half")  # a crash while a pointer is made
+    assert store.pointer()[1] == first and store.load().nodes.count() == 2
+    second = store.save(g)
+    assert store.pointer() == (3, second, first)
+    late = document.Snapshots(spark, str(tmp_path / "store"))
+    late._names = lambda start: [("pointer-000000000002", 0)] if start == "pointer-" else []  # sees no later pointer
+    with pytest.raises(document.Contended):
+        late._point("other", True, False)
+    assert store.pointer()[1] == second
+
+
 def test_reference_key(spark):
     refs = spark.createDataFrame([("b", 2, 20), ("a", 1, 10)], "name string, size long, ticks long")
     import hashlib
@@ -72,7 +92,7 @@ def test_dirty(spark):
 
 
 def test_listing(spark, tmp_path):
-    for name in ("src/a.cs", "src/obj/b.cs", "src/c.g.cs", ".git/d.cs", "e.txt"):
+    for name in ("src/a.cs", "src/obj/b.cs", "src/Artifacts/x.cs", "BIN/y.cs", "src/c.g.cs", ".git/d.cs", "e.txt"):
         os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
         (tmp_path / name).write_text("x")
     assert [r["path"] for r in document.listing(spark, str(tmp_path), content=True).collect()] == ["src/a.cs"]
@@ -106,6 +126,36 @@ def test_baseline(spark, tmp_path):
     got = logs.read_baseline(spark, path)
     assert sorted(tuple(r) for r in got.collect()) == [("aa", "x y z"), ("bb", "q")]
     assert logs.write_baseline(found.where("id = 'aa'"), str(tmp_path / "next"), got) == 1
+    assert logs.baseline_format(spark, path) == document.FORMAT and logs.accepted(spark, path).count() == 2
+    assert logs.accepted(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "old").write_text("aa x\n")
+    with pytest.raises(document.WrongFormat):
+        logs.accepted(spark, str(tmp_path / "old"))
+
+
+def test_diagrams_stay_below_their_folder(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    for path in ("../x.dot", "/etc/x.dot", "a/../../x.dot", "none/x.dot"):
+        with pytest.raises(logs.OutsideRoot):
+            logs.confined(spark, str(root), path)
+    view = spark.createDataFrame([("a", "b", "Call", 2, 1.0, 3)], "a string, b string, kind string, role long, score double, edges long")
+    out = spark.createDataFrame([(2, 1, 0, 4, 1)], "type_use long, tests long, synthetic long, within long, drawn long")
+    for _ in range(2):
+        said = logs.write_diagram(structure.diagram(view), str(root), "x.mmd", view, out)
+    assert said == ["x.mmd: nodes: 2, edges: 1", "withheld: test code 1 edge(s); type use 2 edge(s); within a group 4 edge(s)"]
+    assert [r["value"] for r in spark.read.text(str(root / "x.mmd")).collect()][0] == "flowchart LR" and len(os.listdir(root)) == 1
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    from strandgraph import tables
+
+    class Cluster:
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: {})})
+        conf = type("F", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(Cluster)
 
 
 def test_envelope(spark):
