@@ -39,12 +39,27 @@ def asked(questions: DataFrame) -> DataFrame:
 
 
 def resolve(graph: Graph, questions: DataFrame, most: int = 40) -> DataFrame:
-    """(q, tier, id) of the first tier that any node meets: 1 the name, 2 the short name, 3 the end of either, 4 a member of a nested type, 5 part of the short name (at most `most`, by id)."""
-    q, name, short = F.lower("q"), F.lower("name"), F.lower("short")
-    dotted = F.concat(F.lit("."), q)
-    nested = (owner(q) != "") & F.contains(name, F.concat(F.lit("."), owner(q), F.lit("."))) & name.endswith(F.concat(F.lit("."), leaf(q)))
-    tier = F.when(name == q, 1).when(short == q, 2).when(name.endswith(dotted) | short.endswith(dotted), 3).when(nested, 4).when(F.contains(short, q), 5)
-    met = graph.nodes.select("id", "name", "short").crossJoin(asked(questions.select("q").distinct())).withColumn("tier", tier).where("tier IS NOT NULL")
+    """(q, tier, id) of the first tier that any node meets: 1 the name, 2 the short name, 3 the end of either, 4 a member of a nested type, 5 part of the short name (at most `most`, by id).
+
+    Whole names, ends at a dot and last parts are keys of joins. Parts of a name are looked for only for questions that have
+    found nothing else: by three letters that they begin with, and one by one where they are shorter."""
+    q = asked(questions.select("q").distinct().select("q", F.lower("q").alias("l")))
+    nodes = graph.nodes.select("id", F.lower("name").alias("name"), F.lower("short").alias("short"))
+    parts = lambda c: F.split(c, r"\.")
+    ends = lambda c: F.transform(F.sequence(F.lit(2), F.size(parts(c))), lambda k: F.array_join(F.slice(parts(c), k, F.size(parts(c))), "."))
+    ends_of = lambda c: F.when(F.size(parts(c)) > 1, ends(c)).otherwise(F.array().cast("array<string>"))
+    key = lambda tier, text: F.struct(F.lit(tier).alias("tier"), text.alias("l"))
+    keys = F.concat(F.array(key(1, F.col("name")), key(2, F.col("short"))), F.transform(F.array_union(ends_of(F.col("name")), ends_of(F.col("short"))), lambda x: key(3, x)))
+    met = nodes.select("id", F.inline(keys)).join(q, "l").select("q", "tier", "id")
+    dotted = q.where(owner(F.col("l")) != "").select("q", leaf("l").alias("last"), F.concat(F.lit("."), owner("l"), F.lit(".")).alias("of"))
+    nested = nodes.where(F.contains("name", F.lit("."))).withColumn("last", leaf("name")).join(F.broadcast(dotted), "last").where(F.contains("name", F.col("of")))  # as few as the questions
+    met = written(met.unionByName(nested.select("q", F.lit(4).alias("tier"), "id")).distinct())
+    rest = q.join(met.select("q").distinct(), "q", "left_anti")
+    long = F.broadcast(rest.where(F.length("l") >= 3).withColumn("gram", F.substring("l", 1, 3)))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("short") - 2), lambda k: F.substring(F.col("short"), k, F.lit(3))))
+    inside = nodes.where(F.length("short") >= 3).select("id", "short", F.explode(grams).alias("gram")).join(long, "gram").where(F.contains("short", F.col("l"))).select("q", "id")
+    brief = nodes.crossJoin(F.broadcast(rest.where(F.length("l") < 3))).where(F.contains("short", F.col("l"))).select("q", "id")
+    met = met.unionByName(inside.unionByName(brief).select("q", F.lit(5).alias("tier"), "id"))
     first = met.groupBy("q").agg(F.min("tier").alias("tier"))
     best = met.select("q", "tier", "id").join(F.broadcast(first), ["q", "tier"])  # a row for each question at most
     place = F.row_number().over(Window.partitionBy("q").orderBy("id"))
@@ -52,7 +67,13 @@ def resolve(graph: Graph, questions: DataFrame, most: int = 40) -> DataFrame:
 
 
 #: Names that a keyword and a library type share.
-ALIASES = {"bool": "Boolean", "byte": "Byte", "char": "Char", "decimal": "Decimal", "double": "Double", "float": "Single", "int": "Int32", "long": "Int64", "object": "Object", "short": "Int16", "string": "String", "uint": "UInt32", "ulong": "UInt64", "void": "Void"}
+ALIASES = {
+    "object": "Object", "bool": "Boolean", "char": "Char", "sbyte": "SByte",
+    "byte": "Byte", "short": "Int16", "ushort": "UInt16", "int": "Int32",
+    "uint": "UInt32", "long": "Int64", "ulong": "UInt64", "decimal": "Decimal",
+    "float": "Single", "double": "Double", "string": "String", "void": "Void",
+    "nint": "IntPtr", "nuint": "UIntPtr",
+}
 
 
 def split_parameters(text: str) -> list[str]:
@@ -153,19 +174,23 @@ def suggest(graph: Graph, questions: DataFrame, take: int = 5, shortlist: int =
     shared = F.size(F.array_intersect("tokens", "q_tokens"))
     covered, recall = shared / F.size("tokens"), shared / F.size("q_tokens")
     same = (F.col("q_owner") != "") & F.contains(F.lower("short"), F.col("q_owner"))
-    pairs = nodes.crossJoin(q)
-    rough = pairs.where(F.arrays_overlap("tokens", "q_tokens")).withColumn("rough", (covered * 55 + recall * 25).cast("int") + F.when(same, 30).otherwise(0))
+    # Shared words are keys of a join; so are first letters with lengths for what may be a slip of the hand.
+    words_of = F.broadcast(q.select("q", F.explode("q_tokens").alias("word")))
+    pairs = nodes.select("id", F.explode("tokens").alias("word")).join(words_of, "word").select("q", "id").distinct().join(nodes, "id").join(q, "q")
+    rough = pairs.withColumn("rough", (covered * 55 + recall * 25).cast("int") + F.when(same, 30).otherwise(0))
     rough = rough.withColumn("why", F.when(same, "same type").when(covered >= 1, "contains").otherwise("shares words"))
     by = lambda *o: F.row_number().over(Window.partitionBy("q").orderBy(*o))
     rough = rough.withColumn("place", by(F.desc("rough"), "id")).where(F.col("place") <= shortlist)
     distance = F.levenshtein(F.lower("leaf"), F.lower("q_leaf"))
     closeness = 1 - distance / F.greatest(F.length("leaf"), F.length("q_leaf"))
     words = rough.withColumn("score", F.col("rough") + (closeness * 20).cast("int")).where(F.col("score") >= least)
-    near = pairs.where((F.abs(F.length("leaf") - F.length("q_leaf")) <= 3) & (F.lower(F.substring("leaf", 1, 1)) == F.lower(F.substring("q_leaf", 1, 1))))
+    size = F.length("q_leaf")
+    slips = q.select("*", F.lower(F.substring("q_leaf", 1, 1)).alias("initial"), F.explode(F.sequence(size - 3, size + 3)).alias("size"))
+    near = nodes.withColumns({"initial": F.lower(F.substring("leaf", 1, 1)), "size": F.length("leaf")}).join(F.broadcast(slips), ["initial", "size"])
     near = near.withColumn("d", F.levenshtein(F.lower("leaf"), F.lower("q_leaf"), 3)).where("d BETWEEN 1 AND 3").withColumn("score", 100 - 20 * F.col("d")).withColumn("why", F.lit("typo"))
     last = lambda df: df.withColumn("place", by(F.desc("score"), F.length("short"), "id")).where(F.col("place") <= take).select("q", "id", F.col("score").cast("long").alias("score"), "why")
     words = written(last(words))
-    return words.unionByName(last(near.join(words.select("q").distinct(), "q", "left_anti")))
+    return words.unionByName(last(near.join(F.broadcast(words.select("q").distinct()), "q", "left_anti")))
 
 
 def lexical(term: Column) -> Column:
