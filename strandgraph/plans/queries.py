@@ -109,7 +109,9 @@ def project_closure(spark, sf):
     "SELECT per.project, types, entrypoints, symbols, CAST(coalesce(depth, 0) AS BIGINT) AS depth, t * 2 > symbols AS is_test, coalesce(r.refs, '') AS refs FROM per LEFT JOIN chain ON chain.project = per.project LEFT JOIN (SELECT src, string_agg(dst, ',' ORDER BY dst) AS refs FROM refs GROUP BY src) r ON r.src = per.project"
 )
 def map_projects(spark, sf):
-    refs = P.project_refs(spark, sf)
+    from ..tables import written
+
+    refs = written(P.project_refs(spark, sf))
     names = P.table(spark, sf, "region").select(F.col("r_name").alias("project"))
     return rank.map_projects(P.index(spark, sf), refs, walk.project_depths(names, refs))
 
@@ -276,14 +278,32 @@ def path_hops(spark, sf):
     return walk.hops(P.index(spark, sf), START, GOAL)
 
 
-@_register(
-    f"WITH {S.GRAPH}, shown AS (SELECT id FROM nodes WHERE NOT {S.TEST}), e2 AS MATERIALIZED (SELECT src, dst FROM edges WHERE kind <> 'TypeUse' AND src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown)), b AS MATERIALIZED (SELECT src AS x, dst AS y FROM e2 UNION SELECT dst, src FROM e2), "
-    f"d AS (WITH RECURSIVE r AS (SELECT CAST({START} AS BIGINT) AS id, 0 AS l UNION SELECT y, l + 1 FROM r JOIN b ON x = id WHERE l < 9) SELECT id, min(l) AS l FROM r GROUP BY id) SELECT l AS distance, l <= 1 AS within, count(*) AS nodes FROM d WHERE l > 0 GROUP BY l"
-)
+_SHOWN = f"tp AS (SELECT project FROM nodes GROUP BY project HAVING count(*) FILTER (WHERE {S.TEST}) * 2 > count(*)), shown AS MATERIALIZED (SELECT * FROM nodes WHERE NOT {S.TEST} AND project NOT IN (SELECT project FROM tp) AND NOT contains(name, '<anonymous') AND NOT starts_with(name, '('))"
+
+
+def _ring_sql(ways: str) -> str:
+    return (
+        f"WITH {S.GRAPH}, {_SHOWN}, e2 AS MATERIALIZED (SELECT src, dst FROM edges WHERE kind <> 'TypeUse' AND src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown)), b AS MATERIALIZED ({ways}), "
+        f"d AS (WITH RECURSIVE r(id, l) USING KEY (id) AS (SELECT id, CAST(0 AS BIGINT) FROM shown WHERE id = {START} UNION SELECT y, min(r.l) + 1 FROM r JOIN b ON x = r.id WHERE y NOT IN (SELECT id FROM recurring.r) GROUP BY y) SELECT * FROM r) "
+        "SELECT CAST(l AS INTEGER) AS distance, l <= 1 AS within, count(*) AS nodes FROM d WHERE l > 0 GROUP BY l"
+    )
+
+
+@_register(_ring_sql("SELECT src AS x, dst AS y FROM e2 UNION SELECT dst, src FROM e2"))
 def neighbourhood(spark, sf):
     return structure.around(P.index(spark, sf), START, 1)
 
 
+@_register(_ring_sql("SELECT DISTINCT src AS x, dst AS y FROM e2"))
+def neighbourhood_out(spark, sf):
+    return structure.around(P.index(spark, sf), START, 1, "out")
+
+
+@_register(_ring_sql("SELECT DISTINCT dst AS x, src AS y FROM e2"))
+def neighbourhood_in(spark, sf):
+    return structure.around(P.index(spark, sf), START, 1, "in")
+
+
 # Names
 
 
@@ -373,7 +393,11 @@ def cycles_collapsed(spark, sf):
     return structure.collapsed(P.index(spark, sf), "type")
 
 
-@_register()
+@_register(
+    f"WITH {S.PLACE}, {S.edges()}, {_NATIONS}, {_MUTUAL}, g AS (SELECT CAST(src AS VARCHAR) AS a, CAST(dst AS VARCHAR) AS b FROM cg), s AS (SELECT min(CAST(node AS VARCHAR)) AS s FROM scc), "
+    "w AS (WITH RECURSIVE r AS (SELECT [a, b] AS path FROM g JOIN s ON a = s UNION ALL SELECT list_append(path, b) FROM r JOIN g ON a = path[-1] JOIN s ON path[-1] <> s WHERE b = s OR NOT list_contains(path, b)) SELECT path FROM r), "
+    "best AS (SELECT path FROM w JOIN s ON path[-1] = s ORDER BY len(path), path LIMIT 1) SELECT CAST(place AS INTEGER) AS place, path[place + 1] AS node FROM (SELECT path, unnest(range(0, len(path))) AS place FROM best)"
+)
 def cycles_loop(spark, sf):
     from ..tables import written
 
@@ -383,7 +407,24 @@ def cycles_loop(spark, sf):
     return spark.createDataFrame(list(enumerate(loop)), "place int, node string")
 
 
-_SHOWN = f"tp AS (SELECT project FROM nodes GROUP BY project HAVING count(*) FILTER (WHERE {S.TEST}) * 2 > count(*)), shown AS MATERIALIZED (SELECT * FROM nodes WHERE NOT {S.TEST} AND project NOT IN (SELECT project FROM tp) AND NOT contains(name, '<anonymous') AND NOT starts_with(name, '('))"
+@_register("WITH e AS (SELECT c_custkey AS a, coalesce(lead(c_custkey) OVER (ORDER BY c_custkey), min(c_custkey) OVER ()) AS b FROM customer) SELECT a AS node, min(a) OVER () AS component FROM e WHERE a <> b")
+def cycles_long(spark, sf):
+    """One ring of all customers, in the order of their keys, with all orders hanging on it as tails."""
+    keys = P.table(spark, sf, "customer").select("c_custkey")
+    ends = keys.agg(F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi")).first()
+    # Keys are dense from the least on, so the next of each is known without ordering them.
+    ring = keys.select(F.col("c_custkey").alias("a"), F.when(F.col("c_custkey") == ends["hi"], ends["lo"]).otherwise(F.col("c_custkey") + 1).alias("b"))
+    tails = P.table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), (-F.col("o_orderkey")).alias("b"))
+    return structure.components(ring.unionByName(tails))
+
+
+@_register("SELECT a.s_suppkey AS root, b.s_suppkey AS project FROM supplier a JOIN supplier b ON b.s_suppkey > a.s_suppkey")
+def closure_long(spark, sf):
+    """A chain of all suppliers, in the order of their keys, which are dense."""
+    keys = P.table(spark, sf, "supplier").select("s_suppkey")
+    return walk.closure(keys.join(keys.select((F.col("s_suppkey") - 1).alias("s_suppkey")), "s_suppkey", "left_semi").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 1).alias("dst")))
+
+
 _VIEW = "SELECT x.grp AS a, y.grp AS b, e.kind, CAST(bit_or(coalesce(role, 0)) AS BIGINT) AS role, round(min(score), 6) AS score, count(*) AS edges FROM edges e JOIN g x ON x.id = e.src JOIN g y ON y.id = e.dst WHERE e.kind <> 'TypeUse' AND x.grp <> y.grp GROUP BY 1, 2, 3"
 _SPACES = "g AS MATERIALIZED (SELECT n.id, regexp_extract(coalesce(o.outer_, n.name), '^(.*)\\.[^.]*$', 1) AS grp FROM shown n LEFT JOIN (SELECT p.id, min_by(p.prefix, length(p.prefix)) AS outer_ FROM (SELECT id, array_to_string(list_slice(string_split(name, '.'), 1, k), '.') AS prefix FROM (SELECT id, name, unnest(range(1, len(string_split(name, '.')) + 1)) AS k FROM shown)) p WHERE p.prefix IN (SELECT name FROM nodes WHERE kind IN ('type', 'interface', 'enum')) GROUP BY p.id) o ON o.id = n.id)"
 
@@ -403,6 +444,23 @@ def stable_ids(spark, sf):
     return structure.stable_ids(P.index(spark, sf).nodes.select(F.col("project").alias("name")))
 
 
+def _drawn_sql(form: str) -> str:
+    label = "kind || CASE WHEN score < 0.8 THEN ' ?' || printf('%.2f', score) ELSE '' END"
+    dashed = "(role & 2 <> 0 OR score < 0.8)"
+    if form == "mermaid":
+        head, tail = "SELECT 0 AS part, '' AS sort, 'flowchart LR' AS line", ""
+        node = "'  ' || id || '[\"' || " + S.mermaid("name") + " || '\"]'"
+        edge = f"'  ' || x.id || CASE WHEN {dashed} THEN ' -. \"' ELSE ' -- \"' END || {label} || CASE WHEN {dashed} THEN '\" .-> ' ELSE '\" --> ' END || y.id"
+    else:
+        head, tail = "SELECT 0 AS part, '' AS sort, 'digraph G {' AS line", " UNION ALL SELECT 3, '', '}'"
+        node = "'  \"' || id || '\" [label=\"' || " + S.dot("name") + " || '\"];'"
+        edge = f"'  \"' || x.id || '\" -> \"' || y.id || '\" [label=\"' || {label} || CASE WHEN {dashed} THEN '\", style=dashed];' ELSE '\"];' END"
+    return (
+        f"WITH {S.GRAPH}, {_SHOWN}, g AS (SELECT id, project AS grp FROM shown), v AS MATERIALIZED ({_VIEW}), ids AS MATERIALIZED (SELECT name, 'n_' || substr(sha256(name), 1, 8) AS id FROM (SELECT a AS name FROM v UNION SELECT b FROM v)) "
+        f"{head} UNION ALL SELECT 1, name, {node} FROM ids UNION ALL SELECT 2, a || chr(1) || b || chr(1) || kind, {edge} FROM v JOIN ids x ON x.name = a JOIN ids y ON y.name = b{tail}"
+    )
+
+
 def _drawn(form: str):
     def f(spark, sf):
         return structure.diagram(structure.exported(P.index(spark, sf), "project"), form).select("place.part", "place.sort", "line")
@@ -410,7 +468,8 @@ def _drawn(form: str):
     return f
 
 
-QUERIES["export_mermaid"], QUERIES["export_dot"] = _drawn("mermaid"), _drawn("dot")
+for _form in ("mermaid", "dot"):
+    QUERIES[f"export_{_form}"], SQL[f"export_{_form}"] = _drawn(_form), _drawn_sql(_form)
 
 # Snapshots
 
@@ -518,15 +577,9 @@ def unresolved_recorded(spark, sf):
 _REASONS = "rs AS MATERIALIZED (SELECT n.id, s.kind, s.reason, count(*) AS n FROM nodes n JOIN sites s ON s.file = n.file AND s.line BETWEEN n.line AND greatest(n.end_line, n.line) GROUP BY 1, 2, 3 UNION ALL SELECT id, 'interface', 'no-implementation', 1 FROM nodes WHERE kind = 'interface' AND id NOT IN (SELECT src FROM edges WHERE kind IN ('Interface', 'DiBinding')))"
 
 
-@_register(f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS} SELECT id, kind, reason, n FROM rs WHERE id BETWEEN 1000000000 AND 2999999999 OR id = 4000000012")
-def silence_reasons(spark, sf):
-    g = P.index(spark, sf)
-    return explain.reasons(g, g.nodes.where("id BETWEEN 1000000000 AND 2999999999 OR id = 4000000012"))
-
-
 @_register(f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS} SELECT id, kind, reason, n FROM rs")
-def silence_reasons_all(spark, sf):
-    """The same of every node."""
+def silence_reasons(spark, sf):
+    """Of every node."""
     g = P.index(spark, sf)
     return explain.reasons(g, g.nodes)
 
@@ -760,3 +813,6 @@ def missing_names(spark, sf):
     g = P.index(spark, sf)
     outside = spark.createDataFrame([("HttpClient", "System.Net.Http", ["a.cs:1"])], "name string, assembly string, sites array<string>")
     return resolve.missing(Graph(g.nodes, g.edges, external_types=outside), _asked(spark, tuple(x for x in _MISSING if "#" not in x)))
+
+
+from . import stores as _stores  # noqa: E402, F401  adds its queries to those above

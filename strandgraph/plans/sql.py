@@ -88,3 +88,11 @@ def walk(seeds: str, depth: int, links: str, seen: str, backward: bool = False,
         known += f" UNION ALL SELECT {k}id FROM {name}_{n}"
     out.append(f"{name} AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM {name}_{n}' for n in range(1, depth + 1))})")
     return ", ".join(out)
+
+
+def mermaid(x: str) -> str:
+    return f"replace({x}, '\"', '#quot;')"
+
+
+def dot(x: str) -> str:
+    return f"replace(replace({x}, '\\', '\\\\'), '\"', '\\\"')"

@@ -35,7 +35,6 @@ def test_without_sql(spark, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
 
 
-def test_reasons_of_every_kind_of_node(spark, con):
-    got = {r["id"] for r in Q.QUERIES["silence_reasons_all"](spark, SF).select("id").distinct().collect()}
-    part = {r["id"] for r in Q.QUERIES["silence_reasons"](spark, SF).select("id").distinct().collect()}
-    assert part < got and any(not 1_000_000_000 <= i <= 2_999_999_999 for i in got - part)
+def test_reasons_of_every_kind_of_node(spark):
+    got = {r["id"] for r in Q.QUERIES["silence_reasons"](spark, SF).select("id").distinct().collect()}
+    assert any(1_000_000_000 <= i <= 2_999_999_999 for i in got) and any(i > 2_999_999_999 for i in got)
