@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -66,3 +67,47 @@ def test_trees_are_walked_as_flattened():
             total += v[k - m.feature.shape[1]]
         assert abs(1 / (1 + np.exp(-total)) - s) < 1e-12
     assert ((m.score(x) > 0.5) == y).mean() > 0.95
+
+
+def plain_fit(x, y, trees, depth, rate, bins, penalty, least):
+    """The same boosting by plain loops over rows, features and cuts: a list of trees, each a dict of node -> (feature, cut) and node -> value."""
+    share = (sum(y) + 1) / (len(y) + 2)
+    base = math.log(share / (1 - share))
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for j in range(x.shape[1])]
+    out, grown = [base] * len(y), []
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-o)) for o in out]
+        g, h = [a - b for a, b in zip(p, y)], [max(a * (1 - a), 1e-6) for a in p]
+        at, split = [0] * len(y), {}
+        for level in range(depth):
+            for node in range((1 << level) - 1, (2 << level) - 1):
+                rows = [i for i in range(len(y)) if at[i] == node]
+                gt, ht = sum(g[i] for i in rows), sum(h[i] for i in rows)
+                best = (1e-9, None)
+                for j, cs in enumerate(cuts):
+                    for c in cs:
+                        left = [i for i in rows if x[i, j] <= c]
+                        gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                        if hl < least or ht - hl < least:
+                            continue
+                        gain = gl**2 / (hl + penalty) + (gt - gl) ** 2 / (ht - hl + penalty) - gt**2 / (ht + penalty)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (j, c))
+                split[node] = best[1]
+                for i in rows:
+                    at[i] = 2 * node + 1 + int(best[1] is not None and x[i, best[1][0]] > best[1][1])
+        value = {}
+        for leaf in set(at):
+            rows = [i for i in range(len(y)) if at[i] == leaf]
+            value[leaf] = -rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + penalty)
+        out = [o + value[k] for o, k in zip(out, at)]
+        grown.append((split, value))
+    return [1 / (1 + math.exp(-o)) for o in out]
+
+
+def test_fit_against_plain_loops():
+    r = np.random.default_rng(8)
+    x = np.round(r.normal(size=(90, 4)), 2)
+    y = (x[:, 1] + 0.5 * x[:, 2] ** 2 + r.normal(size=90) * 0.3 > 0.4).astype(float)
+    model = quality.fit(x, y, 6, 3, 0.2, 16, 1.0, 1.0)
+    assert np.allclose(model.score(x), plain_fit(x, y, 6, 3, 0.2, 16, 1.0, 1.0), atol=1e-9)
