@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,45 +255,30 @@ def _crowded(rows: DataFrame, length: int) -> DataFrame:
     return written(out)
 
 
-def packed(docs: DataFrame, text: str) -> DataFrame:
-    """(rid, doc_id, z): every row of `docs` under a number of its own, with its text compressed, as a table."""
+def packed(docs: DataFrame, text: str = "text", length: int = 400, core: int = 64) -> DataFrame:
+    """(rid, doc_id, z, anchors): every row of `docs` under a number of its own, with its text compressed and its anchors, as a table."""
+    fields = pa.struct([("h", pa.int64()), ("c", pa.binary()), ("pos", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
 
-    @F.arrow_udf("binary")
-    def pack(texts: pa.Array) -> pa.Array:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        return pa.array([squeeze(t.as_buffer()) for t in texts.cast(pa.large_binary())], pa.binary())
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid, squeeze = TaskContext.get().partitionId() << 36, zstandard.ZstdCompressor(level=1).compress
+        for rows, data, at in text_blocks(batches, "text", 1 << 19):
+            raw, found = data.tobytes(), anchors(data, at, length, core)
+            spot = at[found["row"]] + found["pos"]
+            c = [digest(raw[a - x : a + y], x) for a, x, y in zip(spot.tolist(), found["left"].tolist(), found["right"].tolist())]
+            values = [pa.array(found["h"].view(np.int64)), pa.array(c, pa.binary()), *(pa.array(found[k].astype(np.int32)) for k in ("pos", "left", "right"))]
+            each = pa.ListArray.from_arrays(pa.array(np.searchsorted(found["row"], np.arange(rows.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays(values, fields=list(fields)))
+            z = pa.array([squeeze(raw[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(rows.num_rows)), rows.column(0), z, each], ["rid", "doc_id", "z", "anchors"])
+            rid += rows.num_rows
 
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     # The numbers are read from the table ever after, so that they stay the same when a task runs again.
-    return written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), pack(F.coalesce(F.col(text), F.lit(""))).alias("z")))
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """(rid, text) of (rid, z) rows, in batches of about `most` bytes."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    rids, texts, size = [], [], 0
-    for b in batches:
-        for rid, z in zip(b.column(0).to_pylist(), b.column(1)):
-            rids.append(rid), texts.append(unpack(z.as_buffer()))
-            size += len(texts[-1])
-            if size >= most:
-                yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(texts, pa.large_binary())], ["rid", "text"])
-                rids, texts, size = [], [], 0
-    if rids:
-        yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(texts, pa.large_binary())], ["rid", "text"])
+    return written(source.mapInArrow(find, "rid long, doc_id long, z binary, anchors array<struct<h:long,c:binary,pos:int,left:int,right:int>>"))
 
 
 def repeated_spans(rows: DataFrame, length: int = 400, core: int = 64) -> DataFrame:
     """(rid, spans): for each of the `packed` rows that has any, the [start, end) byte ranges of repeated windows, which may overlap."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, at in text_blocks(_unpacked(batches), "text", 1 << 20):
-            found, raw = anchors(data, at, length, core), data.tobytes()
-            spot = at[found["row"]] + found["pos"]
-            c = [digest(raw[a - x : a + y], x) for a, x, y in zip(spot.tolist(), found["left"].tolist(), found["right"].tolist())]
-            numbers = [pa.array(found[k].astype(np.int32)) for k in ("pos", "left", "right")]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found["row"])), pa.array(found["h"].view(np.int64)), pa.array(c, pa.binary()), *numbers], ["rid", "h", "c", "pos", "left", "right"])
-
-    spots = written(rows.select("rid", "z").mapInArrow(find, "rid long, h long, c binary, pos int, left int, right int"))
+    spots = rows.select("rid", F.inline("anchors"))
     per_context = spots.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), *(F.first(k).alias(k) for k in ("rid", "pos", "left", "right")))
     per_core = per_context.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("all")).where("all > 1").drop("all")
     known = written(per_context.join(per_core, "h"))
@@ -301,8 +287,8 @@ def repeated_spans(rows: DataFrame, length: int = 400, core: int = 64) -> DataFr
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part, out = b.slice(k, 256), []
+            for k in range(0, b.num_rows, 64):
+                part, out = b.slice(k, 64), []
                 for z, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     raw = unpack(z)
                     out += [(w["h"], w["c"], w["n"], w["d"], w["left"], raw[w["pos"] - w["left"] : w["pos"] + w["right"]]) for w in wanted]
@@ -346,8 +332,8 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 400, core: int = 64
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
                 out = []
                 for z, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     raw, runs, at, kept = unpack(z), merged([(s["start"], s["end"]) for s in spans or []]), 0, []
@@ -358,6 +344,6 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 400, core: int = 64
                 kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(zip(*out), kinds))], ["doc_id", "n_bytes", "spans", "kept"])
 
-    source = packed(docs, text)
+    source = packed(docs, text, length, core)
     rows = source.join(repeated_spans(source, length, core), "rid", "left").select("doc_id", "z", "spans")
     return rows.mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
