@@ -138,7 +138,7 @@ def usage_written(spark, sf):
     for part in ("exit = 0", "exit <> 0"):
         logs.append_usage(rows.where(part), path)
     got = logs.read_usage(spark, path)
-    return got.groupBy("cmd", F.col("exit")).agg(F.count(F.lit(1)).alias("runs"), F.sum("ms").alias("ms"), F.count_distinct("session").alias("sessions"), F.min("ts").alias("first"))
+    return got.groupBy("cmd", F.col("exit")).agg(F.count(F.lit(1)).alias("runs"), F.sum("ms").alias("ms"), F.count_distinct("session").alias("sessions"), F.min("ts").cast("timestamp_ntz").alias("first"))
 
 
 @_register(f"{_CHANGES} SELECT id, relation FROM ch WHERE relation <> 'removed'")

@@ -38,7 +38,7 @@ def stream_usage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_usage(rows: DataFrame, path: str) -> None:
-    rows.select(F.to_json(F.struct(*(c for c in _NAMES if c in rows.columns)), {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}).alias("value")).write.mode("append").text(path)
+    rows.select(F.to_json(F.struct(*(c for c in _NAMES if c in rows.columns)), {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}).alias("value")).write.mode("append").text(path)
 
 
 _FORMAT = "# format"
