@@ -7,7 +7,9 @@ cell and the at most 32 next to it; the range join is an equi-join on cells, and
 
 A cell with many fingerprints is not paired: its rows are dealt out anew by the fingerprints within one bit that
 lie in the cell. Two that share such a midpoint differ in at most 2 bits, and those within 2 bits share one,
-so a link to the smallest of a midpoint (which at most 65 share) is exact and linear."""
+so a link to the smallest of a midpoint (which at most 65 share) is exact and linear.
+
+No join is left to Spark to broadcast: packed numbers take a fraction of their size in files, so what seems small would fill the driver."""
 
 from __future__ import annotations
 
@@ -69,13 +71,13 @@ def links(distinct: DataFrame) -> DataFrame:
     """(a, b): verified links between the nodes of (fp, node) rows with distinct fp, enough to connect all within 2 bits."""
     embedded = distinct.select("fp", "node", F.explode(_cells(_popcounts(F.col("fp")))).alias("cell"))
     met = embedded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(embedded.join(met, "cell"))
+    shared = written(embedded.join(met.hint("merge"), "cell"))
     few, many = shared.where(F.col("n") <= CROWDED), shared.where(F.col("n") > CROWDED)
     x, y = few.select("cell", F.col("fp").alias("x"), F.col("node").alias("a")), few.select("cell", F.col("fp").alias("y"), F.col("node").alias("b"))
-    near = x.join(y, "cell").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2)).select("a", "b")
+    near = x.join(y.hint("merge"), "cell").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2)).select("a", "b")
     bits = [F.lit(0), *(F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64))]
     at = many.select("node", "cell", F.explode(F.array(*(F.col("fp").bitwiseXOR(b) for b in bits))).alias("mid")).where(_popcounts(F.col("mid")) == F.col("cell"))
-    stars = at.join(at.groupBy("mid").agg(F.min("node").alias("b")), "mid").where("node <> b").select(F.col("node").alias("a"), "b")
+    stars = at.join(at.groupBy("mid").agg(F.min("node").alias("b")).hint("merge"), "mid").where("node <> b").select(F.col("node").alias("a"), "b")
     return near.unionByName(stars).distinct()
 
 
@@ -88,5 +90,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", n: int = 3) -> DataFram
     fps = written(fingerprints(docs, text, n))
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
     found = connected_components(links(distinct.where("node IS NOT NULL")))
-    group = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(group, "fp").select("doc_id", "fp", "component_id")
+    group = distinct.join(found.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(group.hint("merge"), "fp").select("doc_id", "fp", "component_id")

@@ -68,3 +68,16 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201), (201, 200), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {**{k: 0 for k in range(101)}, 200: 200, 201: 200}
+
+
+def test_no_broadcasts(spark):
+    """The driver holds no side of a join, however small its file."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdef") for _ in range(r.randint(3, 9))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")  # any broadcast fails
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == groups(range(300), brute(texts))
