@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import TYPES, is_entrypoint, is_flow, is_test, leaf, score, under
 from ..graph import Graph
+from ..tables import written
 from . import rank, walk
 
 #: The order of kinds in a report of unresolved sites, and how many of each are kept as a sample.
@@ -38,17 +39,42 @@ def unresolved_sample(sites: DataFrame, by: tuple[str, ...] = ("kind",), caps: d
     return sites.withColumn("nth", nth).where(F.col("nth") <= cap).drop("nth")
 
 
-def reasons(graph: Graph, targets: DataFrame) -> DataFrame:
-    """(id, kind, reason, n): what may hide edges of each target (id): unresolved sites and types from elsewhere within its span, and interfaces that nothing implements."""
-    nodes = graph.nodes.join(targets.select("id"), "id", "left_semi").select("id", "kind", F.lower("file").alias("f"), "line", F.greatest("end_line", "line").alias("last"))
+def _pieces(line: Column, last: Column) -> Column:
+    """The fewest (level, block) that make up the lines from `line` to `last`; a block of level k has the 2^k lines from block * 2^k on."""
+    size = F.bin(last.cast("long") - line.cast("long") + 1)  # as many digits as levels can serve
+    at = lambda k: (F.ceil(line / F.pow(F.lit(2.0), k)), F.floor((last.cast("long") + 1) / F.pow(F.lit(2.0), k)))  # noqa: E731  exact for lines of 32 bits
+
+    def ends(k: Column) -> Column:
+        lo, hi = at(k)
+        row = lambda block: F.struct(k.alias("level"), block.alias("block"))
+        odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
+        return F.array(F.when((lo < hi) & odd(lo), row(lo)), F.when((lo < hi) & odd(hi), row(hi - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.length(size) - 1), ends)))
+
+
+def _counted_within(spans: DataFrame, points: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(id, *by, n): how many of the points (f, at, *by) lie in each span (id, f, line, last).
+
+    Points are summed by blocks of lines of the sizes that the spans of their file are made of, so a wide span meets a few
+    sums, not every point, and no file's spans meet all of its points."""
+    cut = spans.select("id", "f", F.explode(_pieces(F.col("line"), F.col("last"))).alias("p")).select("id", "f", "p.level", "p.block")
+    sums = points.groupBy("f", "at", *by).agg(F.count(F.lit(1)).alias("n")).join(cut.select("f", "level").distinct(), "f")
+    sums = sums.groupBy("f", "level", F.floor(F.col("at") / F.pow(F.lit(2.0), "level")).alias("block"), *by).agg(F.sum("n").alias("n"))
+    return cut.join(sums.hint("merge"), ["f", "level", "block"]).groupBy("id", *by).agg(F.sum("n").alias("n"))
+
+
+def reasons(graph: Graph, targets: DataFrame | None = None) -> DataFrame:
+    """(id, kind, reason, n): what may hide edges of each target (id), or of every node: unresolved sites and types from elsewhere within its span, and interfaces that nothing implements."""
+    nodes = graph.nodes if targets is None else graph.nodes.join(targets.select("id"), "id", "left_semi")
+    nodes = written(nodes.select("id", "kind", F.lower("file").alias("f"), "line", F.greatest("end_line", "line").alias("last")))
     sites = graph.unresolved.select("kind", "reason", F.lower("file").alias("f"), F.col("line").alias("at"))
-    inside = nodes.drop("kind").join(sites, "f").where("at BETWEEN line AND last")
-    out = inside.groupBy("id", "kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+    out = _counted_within(nodes, sites, ("kind", "reason"))
     bare = nodes.where("kind = 'interface'").select("id").join(graph.edges.where(F.col("kind").isin("Interface", "DiBinding")).select(F.col("src").alias("id")), "id", "left_anti")
     out = out.unionByName(bare.select("id", F.lit("interface").alias("kind"), F.lit("no-implementation").alias("reason"), F.lit(1).cast("long").alias("n")))
     if graph.external_types is not None:
         at = graph.external_types.select("name", F.explode("sites").alias("site")).select("name", F.lower(F.regexp_extract("site", r"^(.*):\d+$", 1)).alias("f"), F.regexp_extract("site", r":(\d+)$", 1).try_cast("int").alias("at"))
-        outside = nodes.drop("kind").join(at, "f").where("at BETWEEN line AND last").groupBy("id", "name").agg(F.count(F.lit(1)).alias("n"))
+        outside = _counted_within(nodes, at, ("name",))
         out = out.unionByName(outside.select("id", F.lit("external-type").alias("kind"), F.col("name").alias("reason"), "n"))
     return out
 

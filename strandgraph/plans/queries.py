@@ -579,9 +579,8 @@ _REASONS = "rs AS MATERIALIZED (SELECT n.id, s.kind, s.reason, count(*) AS n FRO
 
 @_register(f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS} SELECT id, kind, reason, n FROM rs")
 def silence_reasons(spark, sf):
-    """Of every node."""
-    g = P.index(spark, sf)
-    return explain.reasons(g, g.nodes)
+    """Of every node. No walk follows, so the edges needn't be stored in buckets."""
+    return explain.reasons(P.graph(spark, sf))
 
 
 @_register(f"WITH {S.GRAPH}, {S.UNRESOLVED}, {_REASONS} SELECT (SELECT count(*) FROM edges WHERE src = {TARGET} AND {S.FLOW}) AS outgoing, (SELECT count(*) FROM edges WHERE dst = {TARGET} AND kind <> 'TypeUse') AS incoming, CAST(coalesce((SELECT sum(n) FROM rs WHERE id = {TARGET}), 0) AS BIGINT) AS reasons")

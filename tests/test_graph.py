@@ -305,3 +305,20 @@ def test_closure_of_any_references(spark):
         got = [tuple(x) for x in walk.closure(spark.createDataFrame(sorted(refs) * 2, "src string, dst string")).collect()]
         assert sorted(got) == sorted(want)
     assert walk.closure(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_points_in_spans(spark):
+    """Each point is counted for the spans around it, and wide spans meet sums instead of points."""
+    r = random.Random(8)
+    spans = [(k, r.choice("ab"), a := r.choice([0, 1, r.randrange(300), -5]), a + r.choice([0, 0, 1, 63, 98, 2_000_000_000])) for k in range(150)] + [(900, "a", None, 3), (901, None, 1, 3), (902, "a", -(1 << 31), (1 << 31) - 1)]
+    points = [(r.choice("abc"), r.choice([r.randrange(-9, 400), (1 << 31) - 1, -(1 << 31)]), r.choice("xy")) for _ in range(400)] + [("a", None, "x"), (None, 2, "x")]
+    want = {}
+    for i, f, a, b in spans:
+        for g, at, kind in points:
+            if None not in (f, g, a, at) and f == g and a <= at <= b:
+                want[i, kind] = want.get((i, kind), 0) + 1
+    held = spark.createDataFrame(spans, "id long, f string, line int, last int")
+    got = explain._counted_within(held, spark.createDataFrame(points, "f string, at int, kind string"), ("kind",))
+    assert {(x["id"], x["kind"]): x["n"] for x in got.collect()} == want
+    most = held.select(F.size(explain._pieces(F.col("line"), F.col("last"))).alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 62
