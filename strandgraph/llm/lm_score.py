@@ -8,8 +8,8 @@ of this text so far, and the very word before, for the first three bits. Those o
 predictions are stretched, combined by a weight set that the bit's place and the stretch of text (first, second, third or
 later) choose, and squashed. Each text refines its own weights as it is read, every STEP tokens.
 
-The weights that all texts start from are one Newton step of the logistic loss over all training texts (of each, the first three
-stretches and every eighth later one), each token taken out of the counts that predict it. Sums of gradients and curvatures
+The weights that all texts start from are one Newton step of the logistic loss over all tokens of all training texts, each
+token taken out of the counts that predict it. Sums of gradients and curvatures
 don't depend on how rows are dealt out.
 
 Counts come from all training texts. Words, and the classes that follow each, are counted by ranges of word hashes over
@@ -36,8 +36,6 @@ END = np.uint64(0x5BD1E9955BD1E995)
 #: log2 of the contexts of each hashed predictor; each has 256 symbols.
 SIZES = (0, 8, 11)
 STEP, RATE, PRIOR = 32, 0.02, 12.0
-#: Of the stretches of a text after its third, every so many teach the start weights.
-LEARNED = 8
 #: Bits of a class that the word before predicts, and the observations that it leans on those without a context.
 AFTER, LEAN = 3, 4.0
 #: Rows of the inputs: the hashed contexts, the text's own history, the word before, and a constant.
@@ -171,7 +169,7 @@ class Model:
         return out
 
     def scores(self, symbols: np.ndarray, count: np.ndarray, after: np.ndarray | None = None, sums: np.ndarray | None = None) -> np.ndarray:
-        """The natural log of each symbol's probability. With `sums` (stretch, bit, INPUTS, INPUTS + 1), symbols count as learned from, weights stay as they are, and the curvatures and gradients of the loss are added to these, from the first stretches of each sequence and every LEARNED-th later one (the others score 0)."""
+        """The natural log of each symbol's probability. With `sums` (stretch, bit, INPUTS, INPUTS + 1), symbols count as learned from, weights stay as they are, and the curvatures and gradients of the loss are added to these, from every symbol."""
         where = contexts(symbols, count, self.before)
         out = np.zeros(len(symbols))
         order = np.argsort(-count, kind="stable")
@@ -192,23 +190,22 @@ class Model:
             inside = step < size[:live, None]
             c = symbols[at]
             key = np.arange(live)[:, None, None] * 512 + _PATH[c]
-            if sums is None or turn < 3 or turn % LEARNED == 3:
-                sign, through = _SIGN[c], seen.ravel()[key]
-                p = (through[:, :, 1:] + PRIOR * base[c]) / (through[:, :, :-1] + PRIOR)
-                x = [table[w[at] + c] for w in where] + [_stretch(p), np.zeros_like(p) if after is None else after[at], sign]
-                w = self.weights[min(turn, 3)].T  # INPUTS x 8
-                z = reduce(np.add, (v * (w[k] + moved[k, :live, None, :] if sums is None else w[k]) for k, v in enumerate(x)))
-                guess = 1 / (1 + np.exp(-z))  # of the symbol's own bits
-                out[at[inside]] = np.log(guess.astype(np.float64).prod(axis=2))[inside]
-                error = (1 - guess) * inside[:, :, None]
-                if sums is None:
-                    for k, v in enumerate(x):
-                        moved[k, :live] += np.einsum("atk,atk->ak", error, v) * np.float32(RATE / STEP)
-                else:
-                    rows = np.stack([v.reshape(-1, 8).T for v in x], axis=1)  # bit, input, symbol
-                    curve = (guess * error).reshape(-1, 8).T[:, None, :]
-                    sums[min(turn, 3), :, :, :-1] += (rows * curve) @ rows.transpose(0, 2, 1)
-                    sums[min(turn, 3), :, :, -1] += (rows @ error.reshape(-1, 8).T[:, :, None])[:, :, 0]
+            sign, through = _SIGN[c], seen.ravel()[key]
+            p = (through[:, :, 1:] + PRIOR * base[c]) / (through[:, :, :-1] + PRIOR)
+            x = [table[w[at] + c] for w in where] + [_stretch(p), np.zeros_like(p) if after is None else after[at], sign]
+            w = self.weights[min(turn, 3)].T  # INPUTS x 8
+            z = reduce(np.add, (v * (w[k] + moved[k, :live, None, :] if sums is None else w[k]) for k, v in enumerate(x)))
+            guess = 1 / (1 + np.exp(-z))  # of the symbol's own bits
+            out[at[inside]] = np.log(guess.astype(np.float64).prod(axis=2))[inside]
+            error = (1 - guess) * inside[:, :, None]
+            if sums is None:
+                for k, v in enumerate(x):
+                    moved[k, :live] += np.einsum("atk,atk->ak", error, v) * np.float32(RATE / STEP)
+            else:
+                rows = np.stack([v.reshape(-1, 8).T for v in x], axis=1)  # bit, input, symbol
+                curve = (guess * error).reshape(-1, 8).T[:, None, :]
+                sums[min(turn, 3), :, :, :-1] += (rows * curve) @ rows.transpose(0, 2, 1)
+                sums[min(turn, 3), :, :, -1] += (rows @ error.reshape(-1, 8).T[:, :, None])[:, :, 0]
             seen[:live] += np.bincount(key[inside].ravel(), minlength=live * 512).reshape(live, 512)
 
 

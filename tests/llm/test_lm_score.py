@@ -217,3 +217,21 @@ def test_short_counts():
     x = np.concatenate([np.arange(5000), 10 ** np.arange(4, 9)])
     back = lm_score._long(lm_score._short(x))
     assert (back[:16] == x[:16]).all() and (np.abs(back - x) <= 0.05 * x + 0.5).all()
+
+
+def test_every_stretch_teaches_the_start_weights():
+    r = np.random.default_rng(2)
+    leaf = r.integers(0, 9, lm_score._AT[-1])
+    model = lm_score.Model.of(leaf, lm_score._END_CLASS)
+    symbols = r.integers(0, 256, 12 * lm_score.STEP)
+
+    def taught(n):
+        sums = np.zeros((4, 8, lm_score.INPUTS, lm_score.INPUTS + 1))
+        model.scores(symbols[:n], np.array([n]), sums=sums)
+        return sums
+
+    sizes = [taught(k * lm_score.STEP)[..., -2].sum() for k in range(1, 13)]
+    assert all(a != b for a, b in zip(sizes, sizes[1:]))
+    both = np.zeros((4, 8, lm_score.INPUTS, lm_score.INPUTS + 1))
+    model.scores(np.concatenate([symbols, symbols[:40]]), np.array([len(symbols), 40]), sums=both)
+    assert np.allclose(both, taught(len(symbols)) + taught(40), rtol=1e-3, atol=1e-2)
