@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm import decontam, line_dedup, quality, shingles
+from strandgraph.llm import decontam, line_dedup, quality, shingles, simhash
 from strandgraph.llm.common import written
+from strandgraph.llm.components import connected_components
 from strandgraph.llm.queries import mixed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,15 +27,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word Jaccard similarity of 0.8 or more: that of the smallest doc_id, rows without one last."""
-    first = shingles.near_duplicates(docs).where("first").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    first = written(first.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n"))
-    rows = docs.select(*COLUMNS).withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    one = rows.join(first.where("n = 1"), same, "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates: that of the smallest doc_id, rows without one last.
+
+    Fingerprints of 2 or fewer differing bits link, by the operator of op6; near copies whose fingerprints are further apart are
+    then found by an exact join, at a five-word Jaccard similarity of 0.8 or more. A group is what either kind of links connects."""
+    rows = docs.select(*COLUMNS).withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_row", F.xxhash64("doc_id", "_own"))
+    known = rows.select(F.col("_row").alias("doc_id"), "text")
+    links = [found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for found in (simhash.near_duplicates(known), shingles.near_duplicates(known))]
+    group = connected_components(links[0].unionByName(links[1]))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_own", "_row", "n")
+    each = rows.groupBy("_row", "doc_id", "_own").agg(F.count(F.lit(1)).alias("n"))
+    each = each.join(group.select(F.col("node").alias("_row"), "component").hint("merge"), "_row", "left")
+    first = written(each.groupBy(F.coalesce("component", "_row").alias("group")).agg(F.min(order).alias("r")).select("r._row", "r.n"))
+    one = rows.join(first.where("n = 1"), "_row", "left_semi").select(*COLUMNS)
     # Of rows equal in doc_id and text, the least by the other columns.
-    several = rows.join(first.where("n > 1"), same, "left_semi")
-    least = several.groupBy("doc_id", "_own").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    several = rows.join(first.where("n > 1"), "_row", "left_semi")
+    least = several.groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
     return one.unionByName(least)
 
 

@@ -109,3 +109,17 @@ def test_near_dedup_on_whole_rows(spark):
 def test_run(spark, tmp_path):
     tables(spark, str(tmp_path))
     assert cp.run(spark, str(tmp_path)).count() > 50
+
+
+def test_near_dedup_by_fingerprints(spark):
+    """What the operator of op6 links is one group, also where the shingles alone would leave it apart."""
+    from strandgraph.llm import shingles, simhash
+
+    r = random.Random(9)
+    unit = [" ".join("".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(9)) for _ in range(3)]
+    # A passage said over and over decides the fingerprint; what follows it once are many shingles of their own.
+    rows = [(k, " ".join([unit[k % 3]] * 200 + ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(12)])) for k in range(9)]
+    df = spark.createDataFrame([(*x, "en", "s", len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {x["component_id"] for x in simhash.near_duplicates(df).collect()}
+    assert want == {0, 1, 2} and {x["component_id"] for x in shingles.near_duplicates(df).collect()} == set(range(9))
+    assert {i for i, _ in held(cp.distinct(spark, df, ""))} == want
